@@ -5,11 +5,12 @@ from __future__ import annotations
 from freshet.llm.bpe import op1_bpe_roundtrip
 from freshet.llm.packing import op8_sum_of_squares
 from freshet.llm.quality import op10_risk_controlled
+from freshet.llm.secrets import op5_markov_secrets
 from freshet.llm.sharding import op2_prefix_shards
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe_roundtrip, op2_prefix_shards, op8_sum_of_squares, op10_risk_controlled)
+    for f in (op1_bpe_roundtrip, op2_prefix_shards, op5_markov_secrets, op8_sum_of_squares, op10_risk_controlled)
 }
 
 ORACLE_SQL = {}
