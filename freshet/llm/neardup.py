@@ -38,11 +38,10 @@ from pyspark.sql import functions as F
 
 from freshet.llm.common import materialize, table
 from freshet.llm.graph import components
+from freshet.llm.text import word_hashes
 
-#: Words whose hash a worker remembers; elements of a block of minwise products; bytes of an output batch.
-CACHE_ENTRIES = 500_000
+#: Elements of a block of minwise products.
 BLOCK = 8192
-BATCH_BYTES = 16 << 20
 #: A block of a large cluster holds about so many sets and bytes of sets.
 BLOCK_SETS, BLOCK_BYTES = 512, 24 << 20
 #: Rows (of 24 bytes) up to which the ids of candidates are broadcast; above, they are joined by a shuffle.
@@ -69,21 +68,6 @@ class Join:
         return max(1, math.floor(self.coords * (s - 5 * math.sqrt(s * (1 - s) / self.coords))))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-
-_words = _Words()
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -92,14 +76,13 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def shingles(text: str, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles."""
-    words = text.encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    span = min(width, len(words))
-    out = np.full(len(words) - span + 1, span, np.uint64)
+    hashes = word_hashes(text)
+    if not len(hashes):
+        return hashes
+    span = min(width, len(hashes))
+    out = np.full(len(hashes) - span + 1, span, np.uint64)
     for i in range(span):
-        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : len(words) - span + 1 + i])
+        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : len(hashes) - span + 1 + i])
     return np.unique(out)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from freshet.llm.bpe import op1_bpe_roundtrip
+from freshet.llm.language_model import op9_pitman_yor
 from freshet.llm.neardup import op3_chosen_path
 from freshet.llm.packing import op8_sum_of_squares
 from freshet.llm.quality import op10_risk_controlled
@@ -11,7 +12,7 @@ from freshet.llm.sharding import op2_prefix_shards
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe_roundtrip, op2_prefix_shards, op3_chosen_path, op5_markov_secrets, op8_sum_of_squares, op10_risk_controlled)
+    for f in (op1_bpe_roundtrip, op2_prefix_shards, op3_chosen_path, op5_markov_secrets, op8_sum_of_squares, op9_pitman_yor, op10_risk_controlled)
 }
 
 ORACLE_SQL = {}
