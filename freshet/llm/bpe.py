@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.llm.common import table, tokenizer_file
+from freshet.llm.text import Memo
 
-#: Whole pre-tokens and space-separated chunks remembered by a worker, and bytes of an output batch.
-CACHE_ENTRIES = 300_000
+#: Bytes of an output batch.
 BATCH_BYTES = 16 << 20
 #: Bits of a word of the bitmap's lower level.
 _SHIFT = 8
@@ -46,9 +46,9 @@ class BytePairCoder:
             self.ranks = {base64.b64decode(a): int(b) for a, b in pairs}
         self.tokens = {b: a for a, b in self.ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.pieces = _Memo(self._piece)
-        self.first = _Memo(lambda chunk: self._pattern(chunk))
-        self.later = _Memo(lambda chunk: self._pattern(" " + chunk))
+        self.pieces = Memo(self._piece)
+        self.first = Memo(self._pattern)
+        self.later = Memo(lambda chunk: self._pattern(" " + chunk))
 
     def _pattern(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
@@ -92,8 +92,15 @@ class BytePairCoder:
             top |= 1 << (rank >> _SHIFT)
 
         for i, rank in enumerate(rank_at):
-            if rank is not None:
-                put(rank, i)
+            if rank is None:
+                continue
+            if rank in buckets:
+                buckets[rank].append(i)  # ascending, and so a heap
+            else:
+                buckets[rank] = [i]
+                high = rank >> _SHIFT
+                words[high] = words.get(high, 0) | 1 << (rank & 255)
+                top |= 1 << high
         while top:
             high = (top & -top).bit_length() - 1
             word = words[high]
@@ -126,22 +133,6 @@ class BytePairCoder:
         return out
 
 
-class _Memo(dict):
-    """A bounded memory of a function's results; it starts afresh when full."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        value = self.make(key)
-        if len(key) <= 64:
-            self[key] = value
-        return value
-
-
 @lru_cache(maxsize=4)
 def coder(path: str, pattern: str) -> BytePairCoder:
     return BytePairCoder(path, pattern)

@@ -19,6 +19,7 @@ table gives no pieces; extra columns are not read.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,17 +31,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.llm.common import table, tokenizer_file
+from freshet.llm.text import Memo
 
-#: Chunks of text whose ids a worker remembers, and bytes of an output batch.
-CACHE_ENTRIES = 400_000
+#: Bytes of an output batch.
 BATCH_BYTES = 8 << 20
+#: The tokenizer's pre-token pattern over lower-cased Latin-1: contractions, letters, one number, others.
+_LETTER, _NUMBER, _SPACE = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-class ChunkTokenizer:
-    """Ids of texts, with those of space-separated chunks remembered: the tokenizer drops white
-    space, so no token crosses a space."""
+class PieceTokenizer:
+    """Ids of texts, with those of pre-tokens remembered. A text of Latin-1 characters is its own
+    normal form but for lower case and white space, so its pre-tokens can be cut here by the
+    tokenizer's own pattern; other texts go to the tokenizer whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,26 +53,23 @@ class ChunkTokenizer:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        for text in texts:
-            chunks = text.split(" ")
-            new = [c for c in set(chunks) if c not in self.known]
-            if len(self.known) + len(new) > CACHE_ENTRIES:
-                self.known.clear()
-                new = list(set(chunks))
-            for chunk, coded in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False)):
-                self.known[chunk] = array("I", coded.ids).tobytes()
-            yield b"".join(map(self.known.__getitem__, chunks))
-            if sum(map(len, new)) > 1 << 20:
-                self.known.clear()
+        self.pieces = Memo(self._whole)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self._whole(text)
+        return b"".join(map(self.pieces.__getitem__, PIECE.findall(text.lower())))
 
 
 @lru_cache(maxsize=2)
-def chunk_tokenizer(path: str) -> ChunkTokenizer:
-    return ChunkTokenizer(path)
+def piece_tokenizer(path: str) -> PieceTokenizer:
+    return PieceTokenizer(path)
 
 
 class Packer:
@@ -176,7 +178,7 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, path: str | None
     path = path or tokenizer_file("word_bpe_49k.json")
 
     def run(batches):
-        tokenizer = chunk_tokenizer(path)
+        tokenizer = piece_tokenizer(path)
         end = array("I", [end_id]).tobytes()
         rows: list[tuple] = []
         held = [0]
@@ -199,9 +201,8 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, path: str | None
 
         packer = Packer(window, emit, TaskContext.get().partitionId() << 32, max_open)
         for block in batches:
-            texts = (t.as_py() or "" for t in block.column(1))
-            for doc_id, ids in zip(block.column(0).to_pylist(), tokenizer.encode(texts)):
-                packer.add(doc_id, ids + end)
+            for doc_id, text in zip(block.column(0).to_pylist(), block.column(1)):
+                packer.add(doc_id, tokenizer.encode(text.as_py() or "") + end)
                 if held[0] > BATCH_BYTES:
                     yield batch()
         packer.close()

@@ -4,23 +4,37 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Words whose hash a worker remembers; longer words than WORD_BYTES are hashed anew each time.
-CACHE_ENTRIES, WORD_BYTES = 500_000, 64
+#: Entries of each of a memo's two generations; longer keys than KEY_LENGTH are computed anew each time.
+CACHE_ENTRIES, KEY_LENGTH = 250_000, 64
+
+
+class Memo(dict):
+    """A bounded memory of a function's results. When it is full it becomes the older generation, and
+    what is asked for again moves to the new one; two generations are kept."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= KEY_LENGTH:
+            if len(self) >= CACHE_ENTRIES:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def _hash(word: bytes) -> int:
+    import xxhash
 
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= WORD_BYTES:
-            self[word] = value
-        return value
+    return xxhash.xxh3_64_intdigest(word)
 
 
-_hashes = _Hashes()
+_hashes = Memo(_hash)
 
 
 def word_hashes(text: str) -> np.ndarray:

@@ -64,3 +64,20 @@ def test_level_choice():
         options = [after(h) for h in range(16) if (h == 0 or counts[h]) and h + size <= 16]
         packer.place((i, 0, b"\0" * 4 * size, size))
         assert int((packer.level_counts**2).sum()) == min(options)
+
+
+def test_same_ids_as_the_library(documents):
+    import random
+
+    from freshet.llm.packing import piece_tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model, own = Tokenizer.from_file(path), piece_tokenizer(path)
+    model.encode_special_tokens = True
+    draw = random.Random(8)
+    texts = [r.text for r in documents.collect()]
+    texts += ["".join(map(chr, draw.choices(range(256), k=30))) for _ in range(3000)]
+    texts += ["".join(draw.choices("I'LL don'T 're <|endoftext|> _-²½ªÀß\xa0\x85\x1c\n", k=25)) for _ in range(2000)]
+    texts += ["ΑΣ Σ é İstanbul 中文", "'s's 'LL''d"]
+    for text in texts:
+        assert list(array("I", own.encode(text))) == model.encode(text, add_special_tokens=False).ids
