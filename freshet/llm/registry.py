@@ -9,10 +9,11 @@ from freshet.llm.packing import op8_sum_of_squares
 from freshet.llm.quality import op10_risk_controlled
 from freshet.llm.secrets import op5_markov_secrets
 from freshet.llm.sharding import op2_prefix_shards
+from freshet.llm.topk import OP4_SQL, op4_dual_tree
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe_roundtrip, op2_prefix_shards, op3_chosen_path, op5_markov_secrets, op8_sum_of_squares, op9_pitman_yor, op10_risk_controlled)
+    for f in (op1_bpe_roundtrip, op2_prefix_shards, op3_chosen_path, op4_dual_tree, op5_markov_secrets, op8_sum_of_squares, op9_pitman_yor, op10_risk_controlled)
 }
 
-ORACLE_SQL = {}
+ORACLE_SQL = {"op4_dual_tree": OP4_SQL}
