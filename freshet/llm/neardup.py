@@ -338,6 +338,15 @@ def near_duplicates(docs: DataFrame, how: Join = Join(), key: str = "doc_id", te
     )
 
 
+def one_of_each(docs: DataFrame, how: Join = Join(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the documents that near_duplicates() does not keep; rows that repeat an id share
+    its fate, rows without an id stay."""
+    gone = near_duplicates(docs, how, key, text).where(~F.col("kept")).select(F.col(key).alias("_gone")).distinct()
+    gone = materialize(gone, "gone")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(side, F.col(key).cast("long") == F.col("_gone"), "left_anti")
+
+
 def op3_chosen_path(spark, sf_dir) -> DataFrame:
     """Components of all documents: three-word shingles, similarity 0.85 or more."""
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), Join(width=3, num=85, den=100))

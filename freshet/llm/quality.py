@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from freshet.llm.common import materialize, table
 
@@ -95,24 +96,29 @@ def measure(text: str) -> tuple[int, ...]:
     return len(words), word_chars, symbols, dup, repeated_words(words), upper, letters, digits, len(set(words)), lines
 
 
-def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum and the counts of every document, in one pass over the texts."""
-    names = [*COUNTS, *MORE]
+def _counted(rows: DataFrame, text: str) -> DataFrame:
+    """rows with their text's counts in columns of their own names, which rows must not have."""
+    names, at = [*COUNTS, *MORE], rows.columns.index(text)
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(name, T.LongType()) for name in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [measure(t.as_py() or "") for t in batch.column(2)]
-            columns = list(zip(*rows)) if rows else [()] * len(names)
+            found = [measure(t.as_py() or "") for t in batch.column(at)]
+            columns = list(zip(*found)) if found else [()] * len(names)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in columns)],
-                names=["doc_id", "stratum", *names],
+                [*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], names=[*batch.schema.names, *names]
             )
 
+    return rows.mapInArrow(run, schema)
+
+
+def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
+    """doc_id, stratum and the counts of every document, in one pass over the texts."""
     rows = docs.select(
         F.col(key).cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"),
         F.col(text).cast("string").alias("text"),
     )
-    return rows.mapInArrow(run, "doc_id long, stratum string, " + ", ".join(f"{n} long" for n in names))
+    return _counted(rows, "text").drop("text")
 
 
 def _signals() -> dict:
@@ -188,16 +194,29 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float
     documents are rejected beyond the base rule, with probability 1 - delta. Strata beyond the
     max_strata with the most labels keep all that passes the base rule."""
     rows = materialize(measured(docs, key, text, stratum), "quality")
-    found = thresholds(rows, labels, alpha, delta, max_strata)
-    reject = F.lit(False)
+    passes = _passes(thresholds(rows, labels, alpha, delta, max_strata))
+    return rows.select(F.col("doc_id").alias(key), *COUNTS, base_failed().alias("base_failed"), passes.alias("kept"))
+
+
+def _passes(found: dict[tuple[str, str], float]):
+    """The verdict on a measured row."""
+    reject = base_failed()
     signals = _signals()
     for (name, signal), cutoff in sorted(found.items(), key=lambda x: (x[0][0] or "", x[0][1])):
         sign = SIGNALS[signal][0]
         beyond = signals[signal] > cutoff if sign > 0 else signals[signal] < cutoff
         reject = reject | (F.col("stratum").eqNullSafe(F.lit(name)) & beyond)
-    return rows.select(
-        F.col("doc_id").alias(key), *COUNTS, base_failed().alias("base_failed"), (~base_failed() & ~reject).alias("kept")
-    )
+    return ~reject
+
+
+def keep(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05, max_strata: int = 256, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
+    """The documents that judge() keeps, with all their columns. The texts are read twice, once for
+    the cutoffs and once for the verdicts; nothing is joined."""
+    rows = materialize(measured(docs, key, text, stratum), "quality")
+    passes = _passes(thresholds(rows, labels, alpha, delta, max_strata))
+    hidden = docs.select(F.struct("*").alias("_row"), F.col(stratum).cast("string").alias("stratum"))
+    texts = hidden.select("_row", "stratum", F.col("_row").getField(text).cast("string").alias("_text"))
+    return _counted(texts, "_text").where(passes).select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
 def op10_risk_controlled(spark, sf_dir) -> DataFrame:
