@@ -1,0 +1 @@
+"""Analytics of daily environmental time series on Spark: signatures, skill, statistics, models."""
