@@ -95,12 +95,15 @@ def by(key: str, time: str):
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, without a negative zero, so that results of different summation orders agree."""
+    """Doubles rounded, without a negative zero, so that results of different summation orders agree;
+    dates as text."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             x = F.col(f.name).cast("double")
             out.append((F.round(F.when(~F.isnan(x), x), digits) + F.lit(0.0)).alias(f.name))
+        elif isinstance(f.dataType, T.DateType):
+            out.append(F.col(f.name).cast("string").alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)
