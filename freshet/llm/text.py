@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Entries of each of a memo's two generations; longer keys than KEY_LENGTH are computed anew each time.
-CACHE_ENTRIES, KEY_LENGTH = 250_000, 64
+CACHE_ENTRIES, KEY_LENGTH = 200_000, 64
 
 
 class Memo(dict):

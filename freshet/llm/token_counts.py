@@ -26,10 +26,10 @@ from freshet.llm import bpe
 from freshet.llm.common import materialize, table, tokenizer_file
 
 #: Tokens of a block.
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS = 1 << 16
 
 
-def read_files(spark: SparkSession, path: str, width: int = 4, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def read_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(file, block, tokens) of flat token files, any path that Spark reads. Each file is read whole
     by one task (Spark's binary files, 2 GB at most), then cut into blocks."""
     size = width * block_tokens
@@ -38,16 +38,18 @@ def read_files(spark: SparkSession, path: str, width: int = 4, block_tokens: int
     return cut.select("file", "block", F.substring("content", (F.col("block") * size + 1).cast("int"), F.lit(size)).alias("tokens"))
 
 
-def write_stream(docs: DataFrame, separator: int = 50256, path: str | None = None, block_tokens: int = BLOCK_TOKENS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def write_stream(docs: DataFrame, separator: int = 50256, path: str | None = None, width: int = 2, block_tokens: int = BLOCK_TOKENS, text: str = "text") -> DataFrame:
     """(file, block, tokens) of the encoded documents, each followed by the separator: the flat file
-    of every task, in blocks that pay no heed to where documents end."""
+    of every task, in blocks that pay no heed to where documents end. Ids take width bytes: 2 hold a
+    vocabulary of up to 65,536."""
     import public_tokenizers
 
     path = path or tokenizer_file("byte_bpe_50k.tiktoken")
     pattern = public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = bpe.coder(path, pattern), np.array([separator], "<u4").tobytes()
+        coder, kind = bpe.coder(path, pattern), np.dtype(f"<u{width}")
+        end, size = np.array([separator], kind).tobytes(), width * block_tokens
         task, number, held = TaskContext.get().partitionId(), 0, bytearray()
 
         def block(data):
@@ -58,10 +60,10 @@ def write_stream(docs: DataFrame, separator: int = 50256, path: str | None = Non
 
         for batch in batches:
             for value in batch.column(0):
-                held += coder.encode(value.as_py() or "") + end
-                while len(held) >= 4 * block_tokens:
-                    yield block(held[: 4 * block_tokens])
-                    del held[: 4 * block_tokens]
+                held += np.frombuffer(coder.encode(value.as_py() or ""), "<u4").astype(kind).tobytes() + end
+                while len(held) >= size:
+                    yield block(held[:size])
+                    del held[:size]
                     number += 1
         if held:
             yield block(held)
@@ -69,7 +71,7 @@ def write_stream(docs: DataFrame, separator: int = 50256, path: str | None = Non
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "file string, block long, tokens binary")
 
 
-def count_tokens(blocks: DataFrame, separator: int = 50256, width: int = 4, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def count_tokens(blocks: DataFrame, separator: int = 50256, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per document: file, doc (its number there, from 0), start (its first token's place),
     n_tokens (the separator not included), closed."""
     kind = np.dtype(f"<u{width}")
