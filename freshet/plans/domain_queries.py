@@ -35,7 +35,7 @@ def _hexed(spark, d):
 
 def _grid(spark, d):
     rows = read(spark, d, "orders")
-    return rows.groupBy(F.to_date("o_orderdate").alias("time"), (F.col("o_custkey") % 3).cast("long").alias("ix"), (F.col("o_custkey") % 2).cast("long").alias("iy")).agg((F.sum("o_totalprice") / 1000).alias("value"))
+    return rows.groupBy(F.to_date("o_orderdate").alias("time"), (F.col("o_custkey") % 3).cast("long").alias("ix"), (F.col("o_custkey") % 2).cast("long").alias("iy")).agg((F.sum("o_totalprice") / 997).alias("value"))
 
 
 def _weights(spark, d):
@@ -147,7 +147,7 @@ _CORNERS = [(0, 0), (1.3, 0.1), (1.1, 0.9), (0.2, 0.7)]
 _RING = " + ".join(
     f"radians({b[0]} - {a[0]}) * (2 + sin(radians(n_nationkey / 2.0 + 40 + {a[1]})) + sin(radians(n_nationkey / 2.0 + 40 + {b[1]})))" for a, b in zip(_CORNERS, [*_CORNERS[1:], _CORNERS[0]])
 )
-_GRID = "SELECT CAST(o_orderdate AS DATE) AS time, o_custkey % 3 AS ix, o_custkey % 2 AS iy, sum(o_totalprice) / 1000 AS value FROM orders GROUP BY 1, 2, 3"
+_GRID = "SELECT CAST(o_orderdate AS DATE) AS time, o_custkey % 3 AS ix, o_custkey % 2 AS iy, sum(o_totalprice) / 997 AS value FROM orders GROUP BY 1, 2, 3"
 _W = "SELECT n_name AS gauge_id, ix, iy, (n_nationkey + ix * 2 + iy + 1) / 100.0 AS w FROM nation, range(3) a(ix), range(2) b(iy)"
 _LONG = "e AS (SELECT vec_id, label, CAST(unnest(range(len(embedding))) AS INTEGER) AS place, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), cen AS (SELECT label, place, avg(v) AS value, count(*) AS n FROM e GROUP BY 1, 2)"
 _DIST = f"{_LONG}, dist AS (SELECT vec_id, e.label, sqrt(sum(pow(v - value, 2))) AS distance FROM e JOIN cen USING (label, place) GROUP BY 1, 2)"
