@@ -252,35 +252,42 @@ def _links(sets: list[np.ndarray], how: Join) -> Iterator[tuple[int, int]]:
                 yield i, i + 1 + j
 
 
+def _bounded(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast if their number allows it."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _compared(rows: DataFrame, how: Join) -> DataFrame:
+    dealt = rows.select("node", "lo", "hi", "own", "rep", "sig").repartition("node", "lo", "hi")
+    return dealt.sortWithinPartitions("node", "lo", "hi", "rep").mapInArrow(_similar(how), "a long, b long")
+
+
 def candidates(classes: DataFrame, how: Join) -> DataFrame:
-    """Edges (a, b) between classes (rep, sig) that meet in a node and look similar."""
+    """Edges (a, b) between classes (rep, sig) that meet in a node and look similar. Only large nodes
+    are listed apart: each has over node_limit classes, so there are few of them."""
     seed = F.lit(how.trees)
     roots = [
         F.xxhash64(seed, F.lit(t), F.lit(s), _token(F.lit((t * how.branch + s) % how.coords)))
         for t in range(how.trees)
         for s in range(how.branch)
     ]
-    members = materialize(classes.select("rep", F.explode(F.array(*roots)).alias("node")), "nodes")
-    compared = []
+    rows = classes.select("rep", "sig", F.explode(F.array(*roots)).alias("node"))
+    edges = None
     for level in range(how.depth + 1):
-        sizes = members.groupBy("node").count().where("count > 1")
-        members = materialize(members.join(sizes, "node"), "nodes")
-        if level == how.depth:
-            compared.append(members)
-            break
-        compared.append(members.where(F.col("count") <= how.node_limit))
-        large = members.where(F.col("count") > how.node_limit)
+        large = materialize(rows.groupBy("node").count().where(F.col("count") > how.node_limit), "large")
+        side = _bounded(large)
+        whole = rows.join(side, "node", "left_anti").select("*", *(F.lit(0).alias(c) for c in ("lo", "hi", "own")))
+        found = _compared(whole, how)
+        edges = found if edges is None else edges.union(found)
         if large.isEmpty():
             break
+        rows = rows.join(side, "node")
+        if level == how.depth:
+            edges = edges.union(_compared(_blocks(rows, "node", F.ceil(F.col("count") / how.node_limit)), how))
+            break
         slots = F.array(*(F.xxhash64("node", F.lit(s)) for s in range(how.branch)))
         child = F.transform(slots, lambda h: F.xxhash64("node", h, _token(F.pmod(h, F.lit(how.coords)).cast("int"))))
-        members = materialize(large.select("rep", "node").join(classes, "rep").select("rep", F.explode(child).alias("node")), "nodes")
-    edges = None
-    for rows in compared:
-        dealt = _blocks(rows, "node", F.ceil(F.col("count") / how.node_limit)).join(classes, "rep")
-        dealt = dealt.select("node", "lo", "hi", "own", "rep", "sig").repartition("node", "lo", "hi").sortWithinPartitions("node", "lo", "hi", "rep")
-        found = dealt.mapInArrow(_similar(how), "a long, b long")
-        edges = found if edges is None else edges.union(found)
+        rows = materialize(rows.select("rep", "sig", F.explode(child).alias("node")), "nodes")
     return edges
 
 
@@ -291,8 +298,7 @@ def confirmed(docs: DataFrame, clusters: DataFrame, how: Join) -> DataFrame:
     blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("size") * 8 / BLOCK_BYTES))
     chosen = clusters.join(total, "component").select("component", F.col("node").alias("rep"), blocks.cast("int").alias("blocks"), "set_id")
     chosen = materialize(chosen, "chosen")
-    side = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
-    texts = docs.join(side, docs["doc_id"] == side["rep"]).select("component", "rep", "blocks", "set_id", "text")
+    texts = docs.join(_bounded(chosen), F.col("doc_id") == F.col("rep")).select("component", "rep", "blocks", "set_id", "text")
 
     def run(batches):
         for batch in batches:
@@ -343,8 +349,7 @@ def one_of_each(docs: DataFrame, how: Join = Join(), key: str = "doc_id", text:
     its fate, rows without an id stay."""
     gone = near_duplicates(docs, how, key, text).where(~F.col("kept")).select(F.col(key).alias("_gone")).distinct()
     gone = materialize(gone, "gone")
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(side, F.col(key).cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(_bounded(gone), F.col(key).cast("long") == F.col("_gone"), "left_anti")
 
 
 def op3_chosen_path(spark, sf_dir) -> DataFrame:
