@@ -102,23 +102,29 @@ def scores(obs: np.ndarray, sim: np.ndarray) -> dict[str, np.ndarray]:
     return {k: np.where(np.isfinite(v), v, -999.0) for k, v in found.items()}
 
 
-def calibrate(forcing: DataFrame, model: str = "gr4j", warmup_days: int = 365, sets: int = 200, rounds: int = 3, seed: int = 42, keys: tuple[str, ...] = (KEY,)) -> DataFrame:
-    """(keys, trial, params, KGE, NSE, logNSE, neg_PBIAS) of every set tried. Each round draws a Latin
-    hypercube, the first over the bounds, later ones over a range around the best set that halves."""
+def calibrate(forcing: DataFrame, model: str = "gr4j", warmup_days: int = 365, sets: int = 50, rounds: int = 20, seed: int = 42, keys: tuple[str, ...] = (KEY,)) -> DataFrame:
+    """(keys, trial, params, KGE, NSE, logNSE, neg_PBIAS) of every set tried: differential evolution
+    towards KGE, one generation of `sets` a round, the first a Latin hypercube over the bounds."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(TIME)
-        draw, limits, out = np.random.default_rng(seed), bounds(model), []
+        obs, draw, limits, out = frame[Q].to_numpy(float)[warmup_days:], np.random.default_rng(seed), bounds(model), []
         low, high = np.array(limits).T
-        for number in range(rounds):
-            params = design(list(zip(low, high)), sets, draw)
-            sim = simulate_frame(model, frame, params)
-            found = scores(frame[Q].to_numpy(float)[warmup_days:], sim[warmup_days:])
+
+        def tried(params: np.ndarray) -> np.ndarray:
+            found = scores(obs, simulate_frame(model, frame, params)[warmup_days:])
             out.append(pd.DataFrame({"params": list(params), **found}))
-            best = max(out, key=lambda t: t["KGE"].max())
-            centre = np.array(best["params"].iloc[int(best["KGE"].argmax())])
-            half = (np.array(limits)[:, 1] - np.array(limits)[:, 0]) / 2 ** (number + 2)
-            low, high = np.maximum(np.array(limits)[:, 0], centre - half), np.minimum(np.array(limits)[:, 1], centre + half)
+            return found["KGE"]
+
+        kept = design(limits, sets, draw)
+        value = tried(kept)
+        for _ in range(rounds - 1):
+            best, step = kept[int(value.argmax())], draw.uniform(0.4, 0.9, (sets, 1))
+            moved = kept + step * (best - kept) + step * (kept[draw.permutation(sets)] - kept[draw.permutation(sets)])
+            moved = np.where(draw.random(kept.shape) < 0.9, np.clip(moved, low, high), kept)
+            new = tried(moved)
+            better = new > value
+            kept[better], value[better] = moved[better], new[better]
         rows = pd.concat(out, ignore_index=True)
         rows.insert(0, "trial", np.arange(len(rows)))
         for k in reversed(keys):

@@ -135,7 +135,7 @@ QUERIES = {
     "model_gr4j": _simulated("gr4j", [350.0, -0.5, 90.0, 1.7]),
     "model_gr4j_snow": _simulated("gr4j", [350.0, -0.5, 90.0, 1.7, 0.5, 4.0, 0.0]),
     "model_hbv": _simulated("hbv", [2.0, 0.1, 250.0, 0.2, 0.15, 0.05, 0.7, 3.0, 1.5, 120.0, 1.0, 0.0, 5.0, 0.7, 0.05, 0.1]),
-    "model_calibrate": lambda s, d: rounded(models.best_trials(models.calibrate(_forcing(s, d), sets=40, rounds=2))),
+    "model_calibrate": lambda s, d: rounded(models.best_trials(models.calibrate(_forcing(s, d), sets=40, rounds=8))),
     "model_forest": _forest,
     "stream_daily_means": lambda s, d: rounded(daily_means(_readings(s, d))),
 }
