@@ -14,7 +14,6 @@ the two named are not read.
 from __future__ import annotations
 
 import base64
-import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,12 +26,11 @@ from pyspark.sql import functions as F
 from freshet.llm.common import table, tokenizer_file
 from freshet.llm.text import Memo
 
-#: Bytes of an output batch.
+#: Pre-tokens remembered by a worker, in each of two generations, and bytes of an output batch.
+PIECES = 300_000
 BATCH_BYTES = 16 << 20
 #: Bits of a word of the bitmap's lower level.
 _SHIFT = 8
-#: Splitting at this space would part a run of white space that the pattern keeps whole.
-_RUN = re.compile(r"\s \s|\s $")
 
 
 class BytePairCoder:
@@ -46,25 +44,14 @@ class BytePairCoder:
             self.ranks = {base64.b64decode(a): int(b) for a, b in pairs}
         self.tokens = {b: a for a, b in self.ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.pieces = Memo(self._piece)
-        self.first = Memo(self._pattern)
-        self.later = Memo(lambda chunk: self._pattern(" " + chunk))
-
-    def _pattern(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.split(text)))
+        self.pieces = Memo(self._piece, PIECES)
 
     def _piece(self, piece: str) -> bytes:
         return array("I", self.merge(piece.encode())).tobytes()
 
     def encode(self, text: str) -> bytes:
-        """Token ids as little-endian unsigned 32-bit integers. A space that white space does not
-        surround always begins a pre-token, so the text may be cut there and the cuts remembered."""
-        if not text:
-            return b""
-        if _RUN.search(text):
-            return self._pattern(text)
-        first, *later = text.split(" ")
-        return self.first[first] + b"".join(map(self.later.__getitem__, later))
+        """Token ids as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, array("I", ids)))

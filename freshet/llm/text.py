@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Entries of each of a memo's two generations; longer keys than KEY_LENGTH are computed anew each time.
+#: Default entries of each of a memo's two generations; longer keys than KEY_LENGTH are computed anew each time.
 CACHE_ENTRIES, KEY_LENGTH = 200_000, 64
 
 
@@ -12,16 +12,16 @@ class Memo(dict):
     """A bounded memory of a function's results. When it is full it becomes the older generation, and
     what is asked for again moves to the new one; two generations are kept."""
 
-    def __init__(self, make):
+    def __init__(self, make, entries: int = CACHE_ENTRIES):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.entries, self.older = make, entries, {}
 
     def __missing__(self, key):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
         if len(key) <= KEY_LENGTH:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.entries:
                 self.older = dict(self)
                 self.clear()
             self[key] = value
