@@ -106,7 +106,7 @@ QUERIES = {
     "feat_overwritten": lambda s, d: rounded(f.overwritten(*_two(s, d), ["date"], ["q"])),
     "feat_with_dataset": _dataset,
     "feat_leave_one_out": lambda s, d: f.leave_one_out(read(s, d, "nation").select(F.col("n_name").alias("gauge_id"))),
-    "feat_nearest_cell": lambda s, d: f.nearest_cell(read(s, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 100).alias("lon"), (F.col("s_nationkey") * 1.3).alias("lat")), 0.25),
+    "feat_nearest_cell": lambda s, d: rounded(f.nearest_cell(read(s, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 100).alias("lon"), (F.col("s_nationkey") * 1.3).alias("lat")), 0.25)),
     "feat_nearest_vote": _vote,
     "feat_z_scores": lambda s, d: rounded(f.z_scores(read(s, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), ["s_acctbal"], ("s_nationkey",))),
     "feat_argmax_column": _argmax,
@@ -154,7 +154,7 @@ ORACLE_SQL = {
     "feat_with_dataset": f"""WITH w AS (SELECT CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) FILTER (o_orderpriority LIKE '1%') AS a, sum(o_totalprice) FILTER (o_orderpriority LIKE '2%') AS b FROM orders GROUP BY 1)
       SELECT {_DAY}, 'e5l' AS dataset, {num(prcp='a')} FROM w UNION ALL SELECT {_DAY}, 'gpcp', {num(prcp='b')} FROM w""",
     "feat_leave_one_out": "SELECT a.n_name AS fold, b.n_name AS gauge_id FROM nation a, nation b WHERE a.n_name <> b.n_name",
-    "feat_nearest_cell": "SELECT s_suppkey, s_acctbal / 100 AS lon, CAST(s_nationkey * 1.3 AS DOUBLE) AS lat, CAST(floor(s_acctbal / 100 / 0.25 + 0.5) AS BIGINT) AS cell_x, CAST(floor(CAST(s_nationkey * 1.3 AS DOUBLE) / 0.25 + 0.5) AS BIGINT) AS cell_y FROM supplier",
+    "feat_nearest_cell": f"SELECT s_suppkey, {num(lon='s_acctbal / 100', lat='s_nationkey * 1.3::DOUBLE')}, CAST(floor(s_acctbal / 100 / 0.25 + 0.5) AS BIGINT) AS cell_x, CAST(floor(s_nationkey * 1.3::DOUBLE / 0.25 + 0.5) AS BIGINT) AS cell_y FROM supplier",
     "feat_nearest_vote": """WITH p AS (SELECT s_suppkey AS id, s_acctbal AS x, s_nationkey * 100.0 AS y, s_nationkey % 3 AS label FROM supplier), d AS (SELECT a.id, b.label, row_number() OVER (PARTITION BY a.id ORDER BY pow(a.x - b.x, 2) + pow(a.y - b.y, 2), b.id) AS k
       FROM p a, p b WHERE a.id % 2 = 1 AND b.id % 2 = 0), v AS (SELECT id, label, count(*) AS n FROM d WHERE k <= 5 GROUP BY 1, 2) SELECT id, label FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, label) = 1""",
     "feat_z_scores": f"SELECT s_suppkey, s_nationkey, {num(s_acctbal='(s_acctbal - avg(s_acctbal) OVER (PARTITION BY s_nationkey)) / nullif(stddev_samp(s_acctbal) OVER (PARTITION BY s_nationkey), 0)')} FROM supplier",
