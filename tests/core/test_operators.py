@@ -127,3 +127,13 @@ def test_plans_push_down_and_prune(spark):
     plan = flow(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "l_comment" not in plan and plan.count("ReadSchema") == 2
     assert "l_extendedprice" not in plan
+
+
+def test_blocks_of_signatures_share_one_scan(spark):
+    from freshet.operators import signatures
+    from freshet.plans.panels import flow
+
+    df = signatures.extreme_metrics(flow(spark, "/root/testdata/sf0.001"))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Scan parquet") == 2 and "ReusedExchange" in plan
