@@ -5,9 +5,9 @@ lengths of the parts and of the matches, added up, are the matches' offsets in c
 
 The models are two tables of character-pair log probabilities, one trained from strings labelled
 random, one from ordinary identifiers. A run of 16 or more token characters whose log-likelihood
-ratio exceeds the threshold is a secret of kind `markov`. The threshold is the highest ratio of any
-labelled identifier plus a margin, and at least log 1000, so no known identifier is reported. Runs
-that overlap a span of the fixed patterns are not reported twice.
+ratio exceeds the threshold, a fixed log 1000, is a secret of kind `markov`. Identifiers are learnt
+from runs shorter than 16 only: what may be reported never teaches the models what is ordinary, nor
+moves the threshold. Runs that overlap a span of the fixed patterns are not reported twice.
 
 Cases: a null or empty text has no spans; null ids are kept; repeated rows are scanned each on its
 own; an empty table gives an empty result; with no labelled identifiers the model of identifiers is
@@ -47,7 +47,8 @@ class Model:
 
 def labelled_samples(docs: DataFrame, sample_docs: int = 2000, random_strings: int = 4000, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(value, random): strings drawn from hashes over the alphabets of common secrets, and the token
-    runs of about sample_docs documents, chosen by a hash of the id, with fixed-pattern spans left out."""
+    runs of about sample_docs documents, chosen by a hash of the id, that are too short to be
+    judged (longer ones may be secrets), with fixed-pattern spans left out."""
     spark = docs.sparkSession
     sha = F.unhex(F.sha2(F.col("id").cast("string"), 256))
     b64 = F.base64(sha)
@@ -59,16 +60,16 @@ def labelled_samples(docs: DataFrame, sample_docs: int = 2000, random_strings: i
     )
     share = max(1, docs.count() // max(1, sample_docs))
     chosen = docs.where(F.pmod(F.xxhash64(F.col(key)), F.lit(share)) == 0).select(F.col(text).cast("string").alias("text"))
-    cleaned = F.col("text")
+    cleaned = F.regexp_replace("text", RUN, " ")
     for _, pattern, _, _ in KINDS:
         cleaned = F.regexp_replace(cleaned, pattern, " ")
     words = chosen.select(F.explode(F.regexp_extract_all(cleaned, F.lit(LEARN), F.lit(0))).alias("value"))
     return drawn.unionByName(words.select("value", F.lit(False).alias("random")))
 
 
-def fit(samples: DataFrame, margin: float = 3.0) -> Model:
-    """Train both models from labelled strings (value, random) and set the threshold. Character pairs
-    are counted by the cluster; at most 2 * 128 * 128 counts reach the driver."""
+def fit(samples: DataFrame, threshold: float = math.log(1000)) -> Model:
+    """Train both models from labelled strings (value, random). Character pairs are counted by the
+    cluster; at most 2 * 128 * 128 counts reach the driver."""
     samples = samples.where("value is not null and random is not null")
     chars = F.split("value", "")
     coded = F.transform(chars, lambda c: F.ascii(c))
@@ -85,11 +86,7 @@ def fit(samples: DataFrame, margin: float = 3.0) -> Model:
         rows = [sum(own[a * 128 : a * 128 + 128]) for a in range(128)]
         logs[kind] = [math.log((c + 0.5) / (rows[i // 128] + 0.5 * 68)) for i, c in enumerate(own)]
     ratios = tuple(round(a - b, 6) for a, b in zip(logs[True], logs[False]))
-    highest = (
-        samples.where("not random").where(F.col("value").rlike("^" + RUN.split(")")[-1] + "$"))
-        .where(_mixed(F.col("value"))).agg(F.max(ratio(F.col("value"), ratios)).alias("m")).first()["m"]
-    )
-    return Model(ratios, max(math.log(1000), (highest if highest is not None else -math.inf) + margin))
+    return Model(ratios, threshold)
 
 
 def _mixed(value: Column) -> Column:

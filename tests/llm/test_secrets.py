@@ -46,3 +46,16 @@ def test_redaction(spark, documents, no_docs):
     assert out[2].text is None and out[3].text == "calm"
     assert secrets.redact(no_docs, model).count() == 0
     assert secrets.default_model(no_docs).threshold > 0
+
+
+def test_secrets_in_the_training_table_are_found(spark, documents):
+    draw = random.Random(6)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [(10**6 + i, "see " + "".join(draw.choices(alphabet, k=(20, 32, 40)[i % 3])) + " here") for i in range(150)]
+    rows = [r for r in rows if any(map(str.isdigit, r[1])) and not plain(r[1])]
+    planted = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = documents.select("doc_id", "text").union(planted)
+    found = secrets.scan(docs, secrets.default_model(docs)).where("size(added) > 0").collect()
+    assert {r.doc_id for r in found} <= {r[0] for r in rows}
+    assert len(found) > 0.97 * len(rows)
+    assert all((s.start, s.end) == (4, len(r.text) - 5) for r in found for s in r.added)
