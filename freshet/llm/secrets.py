@@ -7,7 +7,9 @@ The models are two tables of character-pair log probabilities, one trained from
 random, one from ordinary identifiers. A run of 16 or more token characters whose log-likelihood
 ratio exceeds the threshold, a fixed log 1000, is a secret of kind `markov`. Identifiers are learnt
 from runs shorter than 16 only: what may be reported never teaches the models what is ordinary, nor
-moves the threshold. Runs that overlap a span of the fixed patterns are not reported twice.
+moves the threshold. Runs of digits alone, without a letter, are numbers and not judged. A run that a
+span of the fixed patterns covers is not reported again; one that goes beyond such spans is reported
+whole if it is a secret, else each part outside them that is one by its own ratio, however short.
 
 Cases: a null or empty text has no spans; null ids are kept; repeated rows are scanned each on its
 own; an empty table gives an empty result; with no labelled identifiers the model of identifiers is
@@ -30,7 +32,7 @@ KINDS = [
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 ]
-#: What the models judge: whole runs of token characters with a digit and a letter.
+#: What the models judge: whole runs of token characters with a letter.
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 LEARN = r"[A-Za-z0-9+/_=-]{6,}"
 MASK = "[SECRET]"
@@ -89,10 +91,6 @@ def fit(samples: DataFrame, threshold: float = math.log(1000)) -> Model:
     return Model(ratios, threshold)
 
 
-def _mixed(value: Column) -> Column:
-    return value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-
-
 def ratio(value: Column, ratios: tuple[float, ...]) -> Column:
     """Log-likelihood ratio of one string of ASCII characters."""
     known = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
@@ -136,10 +134,35 @@ def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         else:
             passes = lambda m, n=least: F.length(m) >= n
         kinds.append(_walk(f"_{name}_m", f"_{name}_p", rank, passes))
-    runs = _walk("_run_m", "_run_p", len(KINDS), lambda m: F.when(_mixed(m), ratio(m, model.ratios) > model.threshold).otherwise(False))
-    out = out.withColumn("base", F.array_sort(F.concat(*kinds))).withColumn("_runs", runs)
-    apart = F.filter("_runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return out.withColumn("added", apart).drop("_text", "_runs", *(n + x for n, _ in patterns for x in ("_m", "_p")))
+    def secret(value):
+        return F.when(value.rlike("[A-Za-z]"), ratio(value, model.ratios) > model.threshold).otherwise(False)
+
+    out = out.withColumn("base", F.array_sort(F.concat(*kinds)))
+    out = out.withColumn("_runs", _walk("_run_m", "_run_p", len(KINDS), secret))
+    # the other runs matter only beside a span of the fixed patterns
+    out = out.withColumn("_calm", F.when(F.size("base") > 0, F.array_except(_walk("_run_m", "_run_p", len(KINDS), lambda m: F.lit(True)), "_runs")).otherwise(F.array().cast(_SPAN)))
+    whole = F.filter("_runs", lambda r: F.size(_outside(r)) > 0)
+    beside = F.filter("_calm", lambda r: F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    parts = F.filter(F.flatten(F.transform(beside, _outside)), lambda x: secret(F.substring(F.col("_text"), x["start"] + 1, x["end"] - x["start"])))
+    added = F.array_sort(F.concat(whole, parts))
+    return out.withColumn("added", added).drop("_text", "_runs", "_calm", *(n + x for n, _ in patterns for x in ("_m", "_p")))
+
+
+def _outside(run: Column) -> Column:
+    """The parts of a run that no span of base covers."""
+
+    def part(begin, end):
+        return F.array(F.struct(begin.alias("start"), run["rank"].alias("rank"), end.alias("end")))
+
+    def step(state, b):
+        gap = F.when(b["start"] > state["at"], F.concat(state["parts"], part(state["at"], b["start"]))).otherwise(state["parts"])
+        return F.struct(F.greatest(state["at"], b["end"]).alias("at"), gap.alias("parts"))
+
+    start = F.struct(run["start"].alias("at"), F.array().cast(_SPAN).alias("parts"))
+    near = F.filter("base", lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    return F.aggregate(
+        near, start, step, lambda s: F.when(s["at"] < run["end"], F.concat(s["parts"], part(s["at"], run["end"]))).otherwise(s["parts"])
+    )
 
 
 def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
