@@ -1,11 +1,13 @@
 """Layout-aware text of HTML pages.
 
 A tree builder applies the implied end tags of HTML (an open <p> ends at a block, <li>, <dt>, <dd>,
-<option>, table rows and cells at their likes) and a renderer lays out what a browser would show:
+<option>, table rows and cells at their likes, the head at the first tag or text that is no metadata,
+svg and math at HTML's own elements) and a renderer lays out what a browser would show:
 blocks on lines of their own, a blank line around paragraphs, headings, lists and tables, bullets and
 numbers with nested indents, preformatted text as it is, and table cells in aligned columns, with
 colspan and rowspan. Not shown: the head, scripts, styles, templates, noscript, embedded content's
-fallbacks, closed <details> but for their summary, closed <dialog>, hidden inputs, the hidden
+fallbacks, svg beyond its <text> and <foreignObject> (so not definitions, nor what <use> repeats),
+annotations and phantoms of formulas, closed <details> but for their summary, closed <dialog>, hidden inputs, the hidden
 attribute, display:none, and visibility:hidden where no descendant sets it back.
 
 Cases: null or empty HTML gives an empty text; malformed HTML never fails: unknown end tags are
@@ -31,8 +33,18 @@ BATCH_BYTES = 16 << 20
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = set(
-    "head title script style template noscript datalist iframe object video audio canvas svg math map".split()
+    "head title script style template noscript datalist iframe object video audio canvas annotation annotation-xml mphantom".split()
 )
+#: What an open head may hold; any other tag or text ends it.
+METADATA = set("html head title meta link style script base basefont bgsound noframes noscript template".split())
+#: HTML elements that end an open svg or math, unless one of the borders (where HTML is at home) lies between.
+BREAKOUT = set(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p"
+    " pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+FOREIGN, HOME = {"svg", "math"}, set("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+#: Of an svg, what is not drawn in its place.
+UNDRAWN = set("defs symbol clippath mask pattern marker lineargradient radialgradient filter desc metadata".split())
 #: Blocks, and those of them with a blank line around.
 SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure fieldset hr menu".split())
 BLOCKS = SPACED | set(
@@ -86,6 +98,10 @@ class TreeBuilder(HTMLParser):
         self.open = [self.root]
 
     def handle_starttag(self, tag, attrs):
+        if tag not in METADATA:
+            self._end_head()
+        if tag in BREAKOUT:
+            self._end_above(FOREIGN, HOME)
         if tag in BLOCKS:
             self._end_above({"p"}, P_BORDERS)
         if tag in ENDS:
@@ -97,9 +113,14 @@ class TreeBuilder(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
+        # only svg and math know elements that end with their start tag
+        last = self.open[-1]
+        if last.tag == tag and not last.children and tag not in BREAKOUT and any(x.tag in FOREIGN for x in self.open):
+            self.open.pop()
 
     def handle_endtag(self, tag):
         if tag == "br":
+            self._end_head()
             self.open[-1].children.append(Element("br", {}))
             return
         border = {"table"} if tag != "table" else set()
@@ -111,8 +132,14 @@ class TreeBuilder(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.open[-1].tag == "head" and _WHITE.sub("", data):
+            self._end_head()
         self.open[-1].children.append(data)
 
+    def _end_head(self) -> None:
+        if self.open[-1].tag == "head":
+            self.open.pop()
+
     def _end_above(self, tags: set[str], borders: set[str]) -> None:
         """End the outermost open element of tags above the last border."""
         found = 0
@@ -216,13 +243,37 @@ def _lay(element: Element, page: Page, pre: bool, visible: bool) -> None:
             page.indent = outer
             if tag in SPACED and not (tag in ("ul", "ol", "menu") and element.tag == "li"):
                 page.space()
-        elif tag in ("td", "th"):
+        elif tag in ("td", "th", "mtd"):
             page.text(" ")
             _lay(child, page, pre, seen)
+        elif tag == "svg":
+            _draw(child, page, seen, False)
         else:
             _lay(child, page, pre or tag == "textarea", seen)
 
 
+def _draw(element: Element, page: Page, visible: bool, inside: bool) -> None:
+    """The labels of an svg, one after another; inside: of a <text>."""
+    for child in element.children:
+        if isinstance(child, str):
+            if inside and visible:
+                page.text(child)
+            continue
+        if not _shown(child) or child.tag in UNDRAWN:
+            continue
+        seen = {"hidden": False, "collapse": False, "visible": True}.get(child.style("visibility"), visible)
+        if child.tag == "foreignobject":
+            page.end()
+            _lay(child, page, False, seen)
+            page.end()
+        elif child.tag == "text":
+            page.text(" ")
+            _draw(child, page, seen, True)
+            page.text(" ")
+        else:
+            _draw(child, page, seen, inside)
+
+
 def _list(element: Element, page: Page, pre: bool, visible: bool) -> None:
     number, outer = element.number("start", 1), page.indent
     for child in element.children:

@@ -45,3 +45,19 @@ def test_all_pages_keep_their_words(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     for r in extract(pages).collect():
         assert r.text and "<" not in r.text
+
+
+@pytest.mark.parametrize("html,text", [
+    ("<html><head><title>T</title><p>Hello <b>you</b>", "Hello you"),
+    ("<head><meta charset=x>\n<link href=y><style>p{}</style><script>1</script>\n bare text<p>more", "bare text\n\nmore"),
+    ("<head><title>T</title><div>a</div></head><body>b</body>", "a\nb"),
+    ("<head><noscript><p>no</p></noscript><template><p>no</p></template></head>yes", "yes"),
+    ("<p>a<svg><title>no</title><defs><text>no</text></defs><rect/>no<text x=1>one <tspan>two</tspan></text><text>three</text></svg>b", "a one two three b"),
+    ("<svg><defs/><text>x</text></svg>", "x"),
+    ("<svg><foreignObject><p>in</p></foreignObject></svg><p>out", "in\n\nout"),
+    ("<svg><path><p>broken out", "broken out"),
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds", "so x=2 holds"),
+    ("<map name=m><area href=x><p>inside a map</p></map>", "inside a map"),
+])
+def test_open_heads_and_foreign_content(html, text):
+    assert render(html) == text
