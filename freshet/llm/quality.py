@@ -12,12 +12,13 @@ all candidates of all strata keeps the chance of any uncertified cutoff passing
 stratum's certified cutoffs on a signal the strictest is applied. Each signal gets its equal share
 of alpha, so the rules together falsely reject at most alpha of a stratum's good documents.
 
-Only counts leave the executors: strata x signals x cutoffs numbers, at most max_strata strata; the
-documents of rarer strata share one common stratum.
+Only counts leave the executors: strata x signals x cutoffs numbers, for the max_strata strata with
+the most good documents in the holdout; all others, labelled or not, share one common stratum, whose
+guarantee is for its documents together.
 
 Cases: a null or empty text has no words and fails the base rule; null strata form one stratum of
 their own; null or absent labels don't count; a document labelled twice counts twice; a stratum
-without enough labels has no certified cutoff and keeps all that passes the base rule; an empty table
+of its own without enough labels has no certified cutoff and keeps all that passes the base rule; an empty table
 gives an empty result; extra columns are not read.
 """
 
@@ -50,6 +51,8 @@ SIGNALS: dict[str, tuple[int, list[float]]] = {
 }
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_upper", "n_letters", "n_digits", "n_distinct", "n_lines"]
+#: The common stratum of all that have none of their own.
+REST = ()
 _SPACES = bytes([32, *range(9, 14)])
 _DIGITS = b"0123456789"
 _OTHER = {kind: bytes(set(range(256)) - set(keep)) for kind, keep in (
@@ -172,8 +175,9 @@ def certify(counts: list[dict], alpha: float, delta: float) -> dict[tuple[str, s
     return {k: v[1] for k, v in best.items()}
 
 
-def thresholds(rows: DataFrame, labels: DataFrame, alpha: float, delta: float, max_strata: int) -> dict[tuple[str, str], float]:
-    """Certified cutoffs from the measured rows that labels cover; both are read in full."""
+def thresholds(rows: DataFrame, labels: DataFrame, alpha: float, delta: float, max_strata: int) -> tuple[dict[tuple[str, str], float], list]:
+    """Certified cutoffs from the measured rows that labels cover, both of which are read in full, and
+    the strata that stand on their own."""
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     joined = rows.join(good.where("doc_id is not null and quality is not null"), "doc_id").where(~base_failed())
     half = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(2))
@@ -185,27 +189,40 @@ def thresholds(rows: DataFrame, labels: DataFrame, alpha: float, delta: float, m
             for at, cutoff in enumerate(cutoffs):
                 sums.append(F.count_if(test & (value > cutoff if sign > 0 else value < cutoff)).alias(f"{name}_{signal}_{at}"))
     joined = joined.select("stratum", "doc_id", "quality", *(x.alias(f"s_{n}") for n, x in _signals().items()))
-    counted = joined.groupBy("stratum").agg(*sums).orderBy(F.desc("hg"), "stratum").limit(max_strata).collect()
-    return certify([r.asDict() for r in counted], alpha, delta)
+    counted = materialize(joined.groupBy("stratum").agg(*sums), "strata")
+    found = [r.asDict() for r in counted.orderBy(F.desc("hg"), "stratum").limit(max_strata).collect()]
+    own = [r["stratum"] for r in found]
+    others = counted.where(~_among(own))
+    rest = others.agg(F.count("*").alias("strata"), *(F.sum(c).alias(c) for c in others.columns if c != "stratum")).first().asDict()
+    if rest.pop("strata"):
+        found.append(rest | {"stratum": REST})
+    return certify(found, alpha, delta), own
+
+
+def _among(own: list):
+    """Whether a row's stratum, perhaps null, is one of own."""
+    named = F.coalesce(F.col("stratum").isin([x for x in own if x is not None]), F.lit(False))
+    return named | F.col("stratum").isNull() if None in own else named
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05, max_strata: int = 256, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
     """One row per document: doc_id, the counts, base_failed, kept. At most alpha of a stratum's good
     documents are rejected beyond the base rule, with probability 1 - delta. Strata beyond the
-    max_strata with the most labels keep all that passes the base rule."""
+    max_strata with the most labels count as one."""
     rows = materialize(measured(docs, key, text, stratum), "quality")
-    passes = _passes(thresholds(rows, labels, alpha, delta, max_strata))
+    passes = _passes(*thresholds(rows, labels, alpha, delta, max_strata))
     return rows.select(F.col("doc_id").alias(key), *COUNTS, base_failed().alias("base_failed"), passes.alias("kept"))
 
 
-def _passes(found: dict[tuple[str, str], float]):
-    """The verdict on a measured row."""
+def _passes(found: dict[tuple[str, str], float], own: list):
+    """The verdict on a measured row. own: the strata that stand on their own."""
     reject = base_failed()
     signals = _signals()
     for (name, signal), cutoff in sorted(found.items(), key=lambda x: (x[0][0] or "", x[0][1])):
         sign = SIGNALS[signal][0]
         beyond = signals[signal] > cutoff if sign > 0 else signals[signal] < cutoff
-        reject = reject | (F.col("stratum").eqNullSafe(F.lit(name)) & beyond)
+        here = ~_among(own) if name == REST else F.col("stratum").eqNullSafe(F.lit(name))
+        reject = reject | (here & beyond)
     return ~reject
 
 
@@ -213,7 +230,7 @@ def keep(docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float =
     """The documents that judge() keeps, with all their columns. The texts are read twice, once for
     the cutoffs and once for the verdicts; nothing is joined."""
     rows = materialize(measured(docs, key, text, stratum), "quality")
-    passes = _passes(thresholds(rows, labels, alpha, delta, max_strata))
+    passes = _passes(*thresholds(rows, labels, alpha, delta, max_strata))
     hidden = docs.select(F.struct("*").alias("_row"), F.col(stratum).cast("string").alias("stratum"))
     texts = hidden.select("_row", "stratum", F.col("_row").getField(text).cast("string").alias("_text"))
     return _counted(texts, "_text").where(passes).select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))

@@ -51,3 +51,18 @@ def test_certified_cutoffs_and_verdicts(spark):
 def test_empty(spark, no_docs):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.judge(no_docs, labels).count() == 0
+
+
+def test_rare_strata_share_one(spark):
+    good = "plain words of a calm and quite ordinary text that nobody would ever want to lose at all"
+    bad = "## ** $$ %% && || << >> ## junk ** more $$ and %% some && || words << >> ## ** $$"
+    # one large stratum of good texts, and many small ones (null among them), none certain by itself
+    rows = [(i, good + f" n{i}", "en") for i in range(2000)]
+    rows += [(10000 + i, (bad if i % 4 == 0 else good) + f" n{i}", f"x{i % 97}" if i % 97 else None) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(not t.startswith("##"))) for i, t, _ in rows], "doc_id long, quality int")
+    kept = {r.doc_id: r.kept for r in quality.judge(docs, labels, alpha=0.2, max_strata=1).collect()}
+    assert len(kept) == len(rows)
+    assert all(kept[i] == (not t.startswith("##")) for i, t, _ in rows)
+    left = quality.keep(docs, labels, alpha=0.2, max_strata=1)
+    assert {r.doc_id for r in left.collect()} == {i for i, k in kept.items() if k}
