@@ -18,6 +18,7 @@ table gives no pieces; extra columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -31,40 +32,106 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.llm.common import table, tokenizer_file
-from freshet.llm.text import Memo
+from freshet.llm.text import KEY_LENGTH
 
-#: Bytes of an output batch.
-BATCH_BYTES = 8 << 20
-#: The tokenizer's pre-token pattern over lower-cased Latin-1: contractions, letters, one number, others.
+#: Bytes of an output batch; characters of texts that are encoded together.
+BATCH_BYTES, BATCH_CHARS = 8 << 20, 1 << 20
+#: Pre-tokens of each of the memory's two generations.
+KNOWN = 400_000
+#: The pre-token pattern of PLAIN over lower-cased Latin-1: contractions, letters, one number, others.
 _LETTER, _NUMBER, _SPACE = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
+#: What a tokenizer file must say for its pre-tokens to be cut by PIECE; with any other, texts go to the library whole.
+PLAIN = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split", "behavior": "Removed", "invert": True,
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+WORD_END = "</w>"
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 class PieceTokenizer:
-    """Ids of texts, with those of pre-tokens remembered. A text of Latin-1 characters is its own
-    normal form but for lower case and white space, so its pre-tokens can be cut here by the
-    tokenizer's own pattern; other texts go to the tokenizer whole."""
+    """Ids of texts as the library gives them, special tokens' strings included. Where the file's
+    normal form and pattern are PLAIN, a text of Latin-1 characters is its own normal form but for
+    lower case and white space, so its pre-tokens are cut here and their ids remembered. Unknown
+    pre-tokens of many texts are encoded in one call, as words of one line: the token that ends a
+    word says so. All other texts, those that hold an added token, and all texts where the file says
+    otherwise go to the library whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        self.pieces = Memo(self._whole)
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        added = [re.escape(x["content"]) for x in said.get("added_tokens") or []]
+        self.added = re.compile("|".join(added)) if added else None
+        model = said["model"]
+        self.plain = {k: said.get(k) for k in PLAIN} == PLAIN and model["type"] == "BPE" and model.get("end_of_word_suffix") == WORD_END
+        self.plain = self.plain and not any(x["normalized"] or x["single_word"] or x["lstrip"] or x["rstrip"] for x in said.get("added_tokens") or [])
+        if self.plain:
+            self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+            self.ends[[i for word, i in model["vocab"].items() if word.endswith(WORD_END)]] = True
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        ids = np.array(self.model.encode(" ".join(pieces), add_special_tokens=False).ids, np.uint32)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        data = ids.tobytes()
+        if len(stops) != len(pieces):
+            raise ValueError("a pre-token was not encoded as one word")
+        cuts = [0, *(4 * stops).tolist()]
+        return {piece: data[a:b] for piece, a, b in zip(pieces, cuts, cuts[1:])}
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text as little-endian unsigned 32-bit integers."""
+        out: list[bytes | None] = [None] * len(texts)
+        cut: dict[int, list[str]] = {}
+        for i, text in enumerate(texts):
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                out[i] = self._whole(text)
+                continue
+            if not self.plain or (self.added and self.added.search(text)):
+                out[i] = self._whole(text)
+            else:
+                cut[i] = PIECE.findall(text.lower())
+        if len(self.known) > KNOWN:
+            self.known, self.older = {}, self.known
+        fresh = set().union(*cut.values()).difference(self.known)
+        again = {x: self.older[x] for x in fresh.intersection(self.older)}
+        fresh = list(fresh.difference(again))
+        self.known |= again
+        self.known |= self._learn(fresh) if fresh else {}
+        for i, pieces in cut.items():
+            out[i] = b"".join(map(self.known.__getitem__, pieces))
+        for piece in fresh:
+            if len(piece) > KEY_LENGTH:
+                del self.known[piece]
+        return out
+
     def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return self._whole(text)
-        return b"".join(map(self.pieces.__getitem__, PIECE.findall(text.lower())))
+        """Ids of one text."""
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -172,6 +239,17 @@ class Packer:
         self.level_counts[:], self.at_level, self.open = 0, {}, 0
 
 
+def _portions(block: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of a batch, some BATCH_CHARS at a time."""
+    ids, first, size, texts = block.column(0).to_pylist(), 0, 0, []
+    for at, value in enumerate(block.column(1)):
+        texts.append(value.as_py() or "")
+        size += len(texts[-1])
+        if size >= BATCH_CHARS or at + 1 == len(ids):
+            yield ids[first : at + 1], texts
+            first, size, texts = at + 1, 0, []
+
+
 def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, path: str | None = None, max_open: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids (binary, little-endian unsigned 32-bit),
     doc_tokens, sequence_id, offset. Every id of a document lies in exactly one piece."""
@@ -201,10 +279,11 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, path: str | None
 
         packer = Packer(window, emit, TaskContext.get().partitionId() << 32, max_open)
         for block in batches:
-            for doc_id, text in zip(block.column(0).to_pylist(), block.column(1)):
-                packer.add(doc_id, tokenizer.encode(text.as_py() or "") + end)
-                if held[0] > BATCH_BYTES:
-                    yield batch()
+            for doc_ids, texts in _portions(block):
+                for doc_id, ids in zip(doc_ids, tokenizer.encode_all(texts)):
+                    packer.add(doc_id, ids + end)
+                    if held[0] > BATCH_BYTES:
+                        yield batch()
         packer.close()
         if rows:
             yield batch()

@@ -10,7 +10,6 @@ from freshet.llm.packing import Packer, pack
 def whole(rows, window, texts):
     """Every id of every document in one piece; gapless offsets; full windows or powers of two."""
     model = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    model.encode_special_tokens = True
     sequences, docs = defaultdict(list), defaultdict(list)
     for r in rows:
         sequences[r.sequence_id].append(r)
@@ -73,7 +72,6 @@ def test_same_ids_as_the_library(documents):
 
     path = public_tokenizers.path("word_bpe_49k.json")
     model, own = Tokenizer.from_file(path), piece_tokenizer(path)
-    model.encode_special_tokens = True
     draw = random.Random(8)
     texts = [r.text for r in documents.collect()]
     texts += ["".join(map(chr, draw.choices(range(256), k=30))) for _ in range(3000)]
@@ -81,3 +79,38 @@ def test_same_ids_as_the_library(documents):
     texts += ["ΑΣ Σ é İstanbul 中文", "'s's 'LL''d"]
     for text in texts:
         assert list(array("I", own.encode(text))) == model.encode(text, add_special_tokens=False).ids
+    assert list(array("I", b"".join(own.encode_all(texts)))) == [i for t in texts for i in model.encode(t, add_special_tokens=False).ids]
+
+
+def test_other_files_are_left_to_the_library(tmp_path, documents):
+    import json
+
+    from freshet.llm.packing import PieceTokenizer
+
+    said = json.load(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8"))
+    said["normalizer"]["normalizers"].pop()
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(said))
+    model, own = Tokenizer.from_file(str(path)), PieceTokenizer(str(path))
+    assert not own.plain
+    for r in documents.limit(20).collect():
+        assert list(array("I", own.encode(r.text or "X"))) == model.encode(r.text or "X", add_special_tokens=False).ids
+
+
+def test_the_query(spark, documents):
+    import zlib
+
+    from freshet.llm.packing import op8_sum_of_squares
+
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    rows = op8_sum_of_squares(spark, "/root/testdata/sf0.001").collect()
+    model, sequences = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), defaultdict(list)
+    for r in rows:
+        ids = [*model.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 2]
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(array("I", ids[r.start : r.start + r.length]).tobytes())
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert sum(r.length for r in rows) == sum({r.doc_id: r.doc_tokens for r in rows}.values())
+    for pieces in sequences.values():
+        ends = [0, *(o + n for o, n in sorted(pieces))]
+        assert [o for o, _ in sorted(pieces)] == ends[:-1]
+        assert ends[-1] == 4096 or ends[-1] & (ends[-1] - 1) == 0
