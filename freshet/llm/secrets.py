@@ -1,30 +1,37 @@
 """Secret scans: fixed patterns, and character Markov models of random strings and identifiers.
 
 DataFrame functions only. Positions come from splitting a text at the matches of a pattern: the
-lengths of the parts and of the matches, added up, are the matches' offsets in code points.
-
-The models are two tables of character-pair log probabilities, one trained from strings labelled
-random, one from ordinary identifiers. A run of 16 or more token characters whose log-likelihood
-ratio exceeds the threshold, a fixed log 1000, is a secret of kind `markov`. Identifiers are learnt
-from runs shorter than 16 only: what may be reported never teaches the models what is ordinary, nor
-moves the threshold. Runs of digits alone, without a letter, are numbers and not judged. A run that a
-span of the fixed patterns covers is not reported again; one that goes beyond such spans is reported
-whole if it is a secret, else each part outside them that is one by its own ratio, however short.
+lengths of the parts and of the matches, added up, are the matches' offsets in code points. Running
+sums, cuts and maskings work block by block, so a text with very many matches costs in proportion to
+its length.
+
+The models are tables of log probabilities of a character after another, one for each kind of random
+string (lower-case hexadecimal, upper-case and digits, letters and digits, base64) and of ordinary
+string (names in code and paths, words of the corpus, UUIDs, dates and versions, repeated and
+consecutive characters). A length has its own probability in each. The log-likelihood
+ratio of a run of 16 or more token characters is its best random model's less its best ordinary one's. A run whose ratio exceeds the threshold is a secret of
+kind `markov`. The labelled samples are drawn from hashes, the ordinary ones by joining words of a
+fixed list and words under 16 characters of some documents: what may be reported never teaches the
+models, nor moves the threshold. The threshold is the quantile of the ratios of ordinary strings held
+out from training that keeps false reports at `false_rate` of every kind, and log 1000 at least. Runs
+without a letter are numbers or rules and not judged. What the fixed patterns cover is not judged
+again; what is left of a run that begins or ends at their spans is, however short.
 
 Cases: a null or empty text has no spans; null ids are kept; repeated rows are scanned each on its
-own; an empty table gives an empty result; with no labelled identifiers the model of identifiers is
-uniform; extra columns are not read, except that redact() passes them through.
+own; an empty table gives an empty result, and without documents the ordinary strings are made of the
+fixed words; extra columns are not read, except that redact() passes them through.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.llm.common import table
+from freshet.llm.common import materialize, table
 
 #: Kinds in order, their patterns, and the least length (of a group, or of the whole match at 0).
 KINDS = [
@@ -32,161 +39,306 @@ KINDS = [
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 ]
-#: What the models judge: whole runs of token characters with a letter.
-RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
-LEARN = r"[A-Za-z0-9+/_=-]{6,}"
+#: What the models judge: whole runs of token characters; beside GAP (a span of the fixed patterns) of any length.
+_T, GAP, OTHER = "[A-Za-z0-9+/_=-]", "\ue000", "\ue001"
+RUN = f"(?<!{_T})(?:{_T}{{16,}}|(?<={GAP}){_T}+|{_T}+(?={GAP}))"
+LONG = f"(?<!{_T}){_T}{{16,}}"
+SHORT = r"(?<![A-Za-z])[A-Za-z]{3,15}(?![A-Za-z])"
 MASK = "[SECRET]"
+#: Elements and characters of a block.
+_BLOCK, _CUT = 128, 2048
 _SPAN = "array<struct<start:int,rank:int,end:int>>"
+#: Characters are coded from '+' on; ',' stands for both ends of a string.
+_FIRST, _WIDE, _END = 43, 80, ","
+#: Lengths told apart.
+_LENGTHS = 64
+#: Ordinary words of names in code.
+CODE_WORDS = (
+    "user account name get set find list item order store cache page session request response client server handler manager"
+    " service factory builder parser reader writer buffer stream thread process config option value index count size length"
+    " width height color image file path folder document section chapter figure table column row cell header footer body text"
+    " string number date time stamp version release build test debug error warning info message event queue task worker job"
+    " schedule update delete create insert select query result data base model view controller module package import export"
+    " library utils common core lang org apache unknown linux windows gnu source target main default static public private"
+    " internal local remote host port network address mail image content type length encode decode format layout style theme"
+    " button window dialog panel menu label input output print load save open close start stop begin end first last next"
+    " previous parent child node tree graph edge link map filter sort merge split join group total average max min"
+).split()
 
 
 @dataclass(frozen=True)
 class Model:
-    """ratios[128 * a + b]: log P(b after a | random) - log P(b after a | identifier)."""
+    """logs[kind][80 * a + b]: log P(b after a) in strings of a kind; lengths[kind][n]: log P(n
+    characters), the last for all longer ones; the threshold of the ratio."""
 
-    ratios: tuple[float, ...]
+    logs: dict[str, tuple[float, ...]]
+    lengths: dict[str, tuple[float, ...]]
     threshold: float
 
 
-def labelled_samples(docs: DataFrame, sample_docs: int = 2000, random_strings: int = 4000, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(value, random): strings drawn from hashes over the alphabets of common secrets, and the token
-    runs of about sample_docs documents, chosen by a hash of the id, that are too short to be
-    judged (longer ones may be secrets), with fixed-pattern spans left out."""
-    spark = docs.sparkSession
-    sha = F.unhex(F.sha2(F.col("id").cast("string"), 256))
+#: Kinds of random and of ordinary strings.
+RANDOM = ["hex", "upper", "letters", "base64"]
+ORDINARY = ["code", "words", "uuid", "stamp", "steps"]
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _draw(salt: int, n: int) -> Column:
+    """A number below n, by a hash of the id."""
+    return F.pmod(F.xxhash64(F.col("id"), F.lit(salt)), F.lit(n)).cast("int")
+
+
+def _random(spark: SparkSession, n: int) -> DataFrame:
+    sha = F.unhex(F.sha2(F.concat(F.lit("random "), F.col("id").cast("string")), 512))
     b64 = F.base64(sha)
-    length = (F.col("id") % 24 + 16).cast("int")
-    kinds = [F.lower(F.hex(sha)), b64, F.translate(b64, "+/=", "xYz"), F.upper(F.translate(b64, "+/=", "7Q2"))]
-    drawn = spark.range(random_strings).select(
-        F.substring(F.element_at(F.array(*kinds), (F.col("id") % 4 + 1).cast("int")), F.lit(1), length).alias("value"),
-        F.lit(True).alias("random"),
+    letters = F.regexp_replace(b64, "[+/=]", "")
+    kinds = [F.lower(F.hex(sha)), F.regexp_replace(F.upper(letters), "[^A-Z0-9]", ""), letters, b64]
+    return spark.range(n).select(
+        F.lit(True).alias("random"), F.element_at(F.array(*map(F.lit, RANDOM)), (F.col("id") % 4 + 1).cast("int")).alias("kind"),
+        F.substring(F.element_at(F.array(*kinds), (F.col("id") % 4 + 1).cast("int")), F.lit(1), 16 + _draw(1, 33)).alias("value"),
     )
+
+
+def _ordinary(spark: SparkSession, n: int, words: list[str]) -> DataFrame:
+    """Strings of the kinds of ORDINARY in turn. words: of the corpus."""
+    code, own = F.array(*map(F.lit, CODE_WORDS)), F.array(*map(F.lit, words or CODE_WORDS))
+
+    def word(i: int) -> Column:
+        any_ = F.when(_draw(i, 3) > 0, F.get(code, _draw(20 + i, len(CODE_WORDS)))).otherwise(F.get(own, _draw(40 + i, len(words or CODE_WORDS))))
+        digits = F.when(_draw(60 + i, 6) == 0, F.pow(F.lit(10.0), _draw(80 + i, 4) + 0.5).cast("int").cast("string")).otherwise(F.lit(""))
+        return F.concat(F.lower(any_), digits)
+
+    parts = [word(i) for i in range(6)]
+    used = F.slice(F.array(*parts), F.lit(1), 2 + _draw(2, 5))
+    title = F.transform(used, F.initcap)
+    camel = F.concat(F.get(used, F.lit(0)), F.array_join(F.slice(title, F.lit(2), F.lit(9)), ""))
+    mixed = F.aggregate(
+        F.transform(used, lambda w, i: F.struct(w.alias("w"), F.when(F.pmod(F.hash(w, i), F.lit(2)) == 0, F.lit("/")).otherwise(F.lit("_")).alias("s"))),
+        F.lit(""), lambda t, x: F.concat(t, F.when(t == "", F.lit("")).otherwise(x["s"]), x["w"]),
+    )
+    styles = [
+        camel, F.array_join(title, ""), F.array_join(used, "_"), F.array_join(used, "-"), F.array_join(used, "/"), mixed,
+        F.upper(F.array_join(used, "_")), F.concat(F.array_join(F.slice(used, F.lit(1), F.lit(2)), "/"), F.lit("/"), F.array_join(title, "")),
+    ]
+    glued = F.array_join(F.transform(F.array(*(F.get(own, _draw(90 + i, len(words or CODE_WORDS))) for i in range(4))), F.lower), "")
+    sha = F.sha2(F.concat(F.lit("ordinary "), F.col("id").cast("string")), 256)
+    part = lambda a, b: F.substring(sha, a, b)
+    uuid = F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("4"), part(13, 3)), part(17, 4), part(21, 12))
+    uuid = F.when(_draw(3, 4) == 0, F.upper(uuid)).otherwise(uuid)
+    day = F.date_add(F.lit("1990-01-01").cast("date"), _draw(4, 20000)).cast("string")
+    two = lambda i, n: F.lpad(_draw(i, n).cast("string"), 2, "0")
+    stamp = F.concat(day, F.lit("T"), two(5, 24), F.lit("-"), two(6, 60), F.lit("-"), two(7, 60))
+    stamp = F.when(_draw(8, 2) == 0, F.concat(F.translate(stamp, "-", ""), F.lit("Z"))).otherwise(F.concat(word(0), F.lit("-"), stamp))
+    line = "".join(map(chr, range(97, 123))) + "".join(map(chr, range(65, 91))) + "".join(map(chr, range(48, 58))) * 2
+    same = F.repeat(F.substring(F.lit(line), 1 + _draw(9, len(line)), F.lit(1)), 16 + _draw(10, 30))
+    steps = F.when(_draw(11, 2) == 0, same).otherwise(F.substring(F.lit(line * 2), 1 + _draw(12, len(line)), 16 + _draw(13, 20)))
+    kinds = [F.get(F.array(*styles), _draw(14, len(styles))), glued, uuid, stamp, steps]
+    at = F.pmod(F.col("id"), F.lit(len(ORDINARY))).cast("int")
+    return spark.range(n).select(F.lit(False).alias("random"), F.get(F.array(*map(F.lit, ORDINARY)), at).alias("kind"), F.get(F.array(*kinds), at).alias("value"))
+
+
+def sample_words(docs: DataFrame, sample_docs: int = 2000, sample_words: int = 2000, key: str = "doc_id", text: str = "text") -> list[str]:
+    """At most sample_words words of 3 to 15 letters from about sample_docs documents, chosen by a hash
+    of the id, outside fixed-pattern spans and runs that may be judged. Words reach the list by a hash
+    of their own."""
     share = max(1, docs.count() // max(1, sample_docs))
     chosen = docs.where(F.pmod(F.xxhash64(F.col(key)), F.lit(share)) == 0).select(F.col(text).cast("string").alias("text"))
-    cleaned = F.regexp_replace("text", RUN, " ")
+    cleaned = F.regexp_replace("text", LONG, " ")
     for _, pattern, _, _ in KINDS:
         cleaned = F.regexp_replace(cleaned, pattern, " ")
-    words = chosen.select(F.explode(F.regexp_extract_all(cleaned, F.lit(LEARN), F.lit(0))).alias("value"))
-    return drawn.unionByName(words.select("value", F.lit(False).alias("random")))
+    words = chosen.select(F.explode(F.regexp_extract_all(cleaned, F.lit(SHORT), F.lit(0))).alias("word")).groupBy("word").count()
+    return [r[0] for r in words.orderBy(F.xxhash64("word"), "word").limit(sample_words).collect()]
 
 
-def fit(samples: DataFrame, threshold: float = math.log(1000)) -> Model:
-    """Train both models from labelled strings (value, random). Character pairs are counted by the
-    cluster; at most 2 * 128 * 128 counts reach the driver."""
+def labelled_samples(spark: SparkSession, words: list[str], random_strings: int = 16_000, ordinary_strings: int = 20_000) -> DataFrame:
+    """(random, kind, value, held): strings drawn by hashes; a quarter is held out."""
+    drawn = materialize(_random(spark, random_strings).unionByName(_ordinary(spark, ordinary_strings, words)), "samples")
+    return drawn.withColumn("held", F.pmod(F.xxhash64("value"), F.lit(4)) == 0)
+
+
+def fit(samples: DataFrame, false_rate: float = 0.002, least: float = math.log(1000)) -> Model:
+    """Train a model of every kind from labelled strings (random, kind, value, held; held ones set the
+    threshold). Character pairs are counted by the cluster; at most 80 * 80 counts a kind reach the
+    driver. Kinds without strings have a uniform model."""
     samples = samples.where("value is not null and random is not null")
-    chars = F.split("value", "")
-    coded = F.transform(chars, lambda c: F.ascii(c))
-    pairs = F.zip_with(coded, F.slice(coded, F.lit(2), F.size(coded)), lambda a, b: a * 128 + b)
-    found = (
-        samples.where(~F.col("value").rlike(r"[^\x00-\x7F]")).select("random", F.explode(pairs).alias("pair"))
-        .where("pair is not null").groupBy("random", "pair").count().collect()
-    )
-    counts = {True: [0.0] * 16384, False: [0.0] * 16384}
+    # a string's length is counted behind the pairs
+    size = F.least(F.length("value"), F.lit(_LENGTHS - 1)) + _WIDE * _WIDE
+    seen = F.concat(_pairs(F.col("value")), F.array(size))
+    found = samples.where("not held").select("kind", F.explode(seen).alias("pair")).where("pair is not null").groupBy("kind", "pair").count().collect()
+    counts = {kind: [0.0] * (_WIDE * _WIDE + _LENGTHS) for kind in RANDOM + ORDINARY}
     for r in found:
-        counts[r["random"]][r["pair"]] = float(r["count"])
-    logs = {}
+        if 0 <= r["pair"] < _WIDE * _WIDE + _LENGTHS:
+            counts[r["kind"]][r["pair"]] = float(r["count"])
+    logs, lengths = {}, {}
     for kind, own in counts.items():
-        rows = [sum(own[a * 128 : a * 128 + 128]) for a in range(128)]
-        logs[kind] = [math.log((c + 0.5) / (rows[i // 128] + 0.5 * 68)) for i, c in enumerate(own)]
-    ratios = tuple(round(a - b, 6) for a, b in zip(logs[True], logs[False]))
-    return Model(ratios, threshold)
-
-
-def ratio(value: Column, ratios: tuple[float, ...]) -> Column:
-    """Log-likelihood ratio of one string of ASCII characters."""
-    known = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
-    coded = F.transform(F.split(value, ""), lambda c: F.ascii(c))
-    parts = F.zip_with(coded, F.slice(coded, F.lit(2), F.size(coded)), lambda a, b: F.get(known, a * 128 + b))
-    return F.aggregate(parts, F.lit(0.0), lambda total, x: total + F.coalesce(x, F.lit(0.0)))
-
-
-def _walk(matches: str, parts: str, rank: int, passes) -> Column:
-    """Spans of the matches that pass; null matches have none."""
-    none = F.array().cast(_SPAN)
-    steps = F.transform(
-        F.col(matches),
-        lambda m, i: F.struct(F.length(F.get(F.col(parts), i)).alias("gap"), F.length(m).alias("len"), passes(m).alias("keep")),
-    )
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+        rows = [sum(own[a * _WIDE : (a + 1) * _WIDE]) for a in range(_WIDE)]
+        logs[kind] = tuple(round(math.log((c + 0.2) / (rows[i // _WIDE] + 0.2 * 68)), 5) for i, c in enumerate(own[: _WIDE * _WIDE]))
+        n = sum(own[_WIDE * _WIDE :])
+        lengths[kind] = tuple(round(math.log((c + 0.2) / (n + 0.2 * _LENGTHS)), 5) for c in own[_WIDE * _WIDE :])
+    model = Model(logs, lengths, least)
+    held = samples.where("held and not random and length(value) >= 16").select("kind", ratio(F.col("value"), model).alias("ratio"))
+    tops = held.groupBy("kind").agg(F.percentile("ratio", F.lit(1 - false_rate)).alias("top")).collect()
+    return Model(logs, lengths, max([least, *(r["top"] for r in tops)]))
+
+
+def _pairs(value: Column) -> Column:
+    """Codes of a string's neighbouring characters, its ends included."""
+    coded = F.transform(F.split(F.concat(F.lit(_END), value, F.lit(_END)), ""), lambda c: F.ascii(c) - _FIRST)
+    return _let(coded, lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c)), lambda a, b: a * _WIDE + b))
+
+
+def ratio(value: Column, model: Model) -> Column:
+    """Log-likelihood ratio of one string of token characters: the best random model's less the best
+    ordinary one's."""
+
+    def numbers(values):
+        return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+    def total(kind):
+        known, sizes = numbers(model.logs[kind]), numbers(model.lengths[kind])
+        # as many pairs as characters, and one
+        size = lambda pairs: F.get(sizes, F.least(F.size(pairs) - 1, F.lit(_LENGTHS - 1)))
+        return lambda pairs: F.aggregate(pairs, size(pairs), lambda t, x: t + F.coalesce(F.get(known, x), F.lit(0.0)))
+
+    sums = [(kind, total(kind)) for kind in RANDOM + ORDINARY]
+    both = lambda p: F.greatest(*(t(p) for k, t in sums if k in RANDOM)) - F.greatest(*(t(p) for k, t in sums if k in ORDINARY))
+    return _let(_pairs(value), both)
+
+
+def _running(values: Column, plus: Callable[[Column, Column], Column]) -> Column:
+    """What came before each number of an array, added up by plus (of zero and above, zero the least):
+    block by block, so that no long array is copied for every element."""
+
+    def scan(block):
+        start = F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("out"))
+        step = lambda s, x: F.struct(plus(s["total"], x).alias("total"), F.concat(s["out"], F.array(s["total"])).alias("out"))
+        return F.aggregate(block, start, step)
+
+    def whole(v):
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _BLOCK).cast("int")), lambda i: scan(F.slice(v, i * _BLOCK + 1, F.lit(_BLOCK))))
+        return _let(
+            blocks,
+            lambda b: _let(
+                scan(F.transform(b, lambda x: x["total"]))["out"],
+                lambda firsts: F.flatten(F.transform(b, lambda x, i: F.transform(x["out"], lambda y: plus(F.get(firsts, i), y)))),
+            ),
+        )
 
-    def step(state, x):
-        begin = state["at"] + x["gap"]
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), (begin + x["len"]).alias("end"))
-        return F.struct(
-            (begin + x["len"]).alias("at"), F.when(x["keep"], F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans")
+    return _let(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(F.array().cast("array<int>")))
+
+
+def _found(text: Column, pattern: str, rank: int, passes) -> Column:
+    """Spans of a pattern's matches that pass, in order."""
+
+    def spans(matches, parts):
+        steps = F.transform(matches, lambda m, i: F.length(F.get(parts, i)) + F.length(m))
+        return _let(
+            _running(steps, lambda a, b: a + b),
+            lambda before: F.filter(
+                F.transform(
+                    matches,
+                    lambda m, i: _let(
+                        F.get(before, i) + F.length(F.get(parts, i)),
+                        lambda at: F.when(passes(m), F.struct(at.alias("start"), F.lit(rank).alias("rank"), (at + F.length(m)).alias("end"))),
+                    ),
+                ),
+                lambda x: x.isNotNull(),
+            ),
         )
 
-    return F.when(F.size(F.col(matches)) > 0, F.aggregate(steps, start, step, lambda s: s["spans"])).otherwise(none)
+    found = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: _let(F.split(text, pattern, -1), lambda p: spans(m, p)))
+    return F.when(text.rlike(pattern), found).otherwise(F.array()).cast(_SPAN)
+
+
+def _cut(blocks: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end of a text that is given in blocks of _CUT."""
+    last = F.greatest(F.floor((end - 1) / _CUT).cast("int"), F.floor(start / _CUT).cast("int"))
+    piece = lambda k: F.substring(F.get(blocks, k), F.greatest(start - k * _CUT, F.lit(0)) + 1, F.least(end - k * _CUT, F.lit(_CUT)) - F.greatest(start - k * _CUT, F.lit(0)))
+    joined = F.array_join(F.transform(F.sequence(F.floor(start / _CUT).cast("int"), last), piece), "")
+    return F.when(end > start, joined).otherwise(F.lit(""))
+
+
+def _masked(text: Column, spans: Column, mask: Callable[[Column], Column]) -> Column:
+    """text with each group of spans that overlap or touch replaced by mask(its length); spans are in order."""
+
+    def gaps(ends, size):
+        """(from, to) of what lies before each group, and after the last one."""
+        reach = _running(F.transform(spans, lambda s: s["end"]), F.greatest)
+        after = F.struct(F.array_max(F.transform(spans, lambda s: s["end"])).alias("from"), size.alias("to"))
+        return _let(
+            reach,
+            lambda r: F.concat(
+                F.filter(
+                    F.transform(spans, lambda s, i: F.when((i == 0) | (s["start"] > F.get(r, i)), F.struct(F.get(r, i).alias("from"), s["start"].alias("to")))),
+                    lambda x: x.isNotNull(),
+                ),
+                F.array(after),
+            ),
+        )
 
+    def joined(blocks, between):
+        def part(gap, i):
+            following = F.get(between, i + 1)
+            own = F.when(following.isNotNull(), mask(following["from"] - gap["to"])).otherwise(F.lit(""))
+            return F.concat(_cut(blocks, gap["from"], gap["to"]), own)
 
-def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with base and added (which replace columns so named): arrays of (start, rank, end), by
-    start and then kind; ranks follow KINDS, and the models' spans have the rank after the last."""
-    out = docs.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    patterns = [(f"_{name}", pattern) for name, pattern, _, _ in KINDS] + [("_run", RUN)]
-    for name, pattern in patterns:
-        hit = F.col("_text").rlike(pattern)
-        out = out.withColumn(f"{name}_m", F.when(hit, F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))))
-        out = out.withColumn(f"{name}_p", F.when(F.col(f"{name}_m").isNotNull(), F.split("_text", pattern, -1)))
-    kinds = []
-    for rank, (name, pattern, group, least) in enumerate(KINDS):
-        if group:
-            passes = lambda m, p=pattern, g=group, n=least: F.length(F.regexp_extract(m, p, g)) >= n
-        else:
-            passes = lambda m, n=least: F.length(m) >= n
-        kinds.append(_walk(f"_{name}_m", f"_{name}_p", rank, passes))
-    def secret(value):
-        return F.when(value.rlike("[A-Za-z]"), ratio(value, model.ratios) > model.threshold).otherwise(False)
+        return F.array_join(F.transform(between, part), "")
 
-    out = out.withColumn("base", F.array_sort(F.concat(*kinds)))
-    out = out.withColumn("_runs", _walk("_run_m", "_run_p", len(KINDS), secret))
-    # the other runs matter only beside a span of the fixed patterns
-    out = out.withColumn("_calm", F.when(F.size("base") > 0, F.array_except(_walk("_run_m", "_run_p", len(KINDS), lambda m: F.lit(True)), "_runs")).otherwise(F.array().cast(_SPAN)))
-    whole = F.filter("_runs", lambda r: F.size(_outside(r)) > 0)
-    beside = F.filter("_calm", lambda r: F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    parts = F.filter(F.flatten(F.transform(beside, _outside)), lambda x: secret(F.substring(F.col("_text"), x["start"] + 1, x["end"] - x["start"])))
-    added = F.array_sort(F.concat(whole, parts))
-    return out.withColumn("added", added).drop("_text", "_runs", "_calm", *(n + x for n, _ in patterns for x in ("_m", "_p")))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CUT}}}"), F.lit(0))
+    return _let(blocks, lambda b: _let(gaps(spans, F.length(text)), lambda g: joined(b, g)))
 
 
-def _outside(run: Column) -> Column:
-    """The parts of a run that no span of base covers."""
+def _scanned(text: Column, model: Model) -> Column:
+    """(base, added) of one text."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
 
-    def part(begin, end):
-        return F.array(F.struct(begin.alias("start"), run["rank"].alias("rank"), end.alias("end")))
+    def base(value):
+        kinds = []
+        for rank, (_, pattern, group, least) in enumerate(KINDS):
+            if group:
+                passes = lambda m, p=pattern, g=group, n=least: F.length(F.regexp_extract(m, p, g)) >= n
+            else:
+                passes = lambda m, n=least: F.length(m) >= n
+            kinds.append(_found(value, pattern, rank, passes))
+        return F.array_sort(F.concat(*kinds))
 
-    def step(state, b):
-        gap = F.when(b["start"] > state["at"], F.concat(state["parts"], part(state["at"], b["start"]))).otherwise(state["parts"])
-        return F.struct(F.greatest(state["at"], b["end"]).alias("at"), gap.alias("parts"))
+    def secret(value):
+        return F.when(value.rlike("[A-Za-z]"), ratio(value, model) > model.threshold).otherwise(False)
 
-    start = F.struct(run["start"].alias("at"), F.array().cast(_SPAN).alias("parts"))
-    near = F.filter("base", lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
-    return F.aggregate(
-        near, start, step, lambda s: F.when(s["at"] < run["end"], F.concat(s["parts"], part(s["at"], run["end"]))).otherwise(s["parts"])
-    )
+    def both(value, fixed):
+        open_ = F.when(F.size(fixed) > 0, _masked(F.translate(value, GAP, OTHER), fixed, lambda n: F.repeat(F.lit(GAP), n))).otherwise(value)
+        added = _let(open_, lambda o: _found(o, RUN, len(KINDS), secret))
+        return F.struct(fixed.alias("base"), added.alias("added"))
+
+    return _let(text, lambda value: _let(base(value), lambda fixed: both(value, fixed)))
+
+
+def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs with base and added (which replace columns so named): arrays of (start, rank, end), by
+    start and then kind; ranks follow KINDS, and the models' spans have the rank after the last."""
+    out = docs.withColumn("base", _scanned(F.col(text), model))
+    return out.withColumn("added", F.col("base.added")).withColumn("base", F.col("base.base"))
 
 
 def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with every span replaced by MASK; spans that overlap are replaced as one."""
-    columns = docs.columns
-    hidden = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_whole"))
-    found = scan(hidden, model, "_whole").withColumn("_all", F.array_sort(F.concat("base", "added")))
-
-    def step(state, x):
-        apart = x["start"] >= state["at"]
-        piece = F.when(apart, F.concat(F.substring(F.col("_whole"), state["at"] + 1, x["start"] - state["at"]), F.lit(MASK))).otherwise(F.lit(""))
-        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.concat(state["out"], piece).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate(
-        "_all", start, step, lambda s: F.concat(s["out"], F.substring(F.col("_whole"), s["at"] + 1, F.length(F.col("_whole"))))
+    """docs with every span replaced by MASK; spans that overlap or touch are replaced as one."""
+    own = F.col(text).cast("string")
+    changed = _let(
+        _scanned(own, model),
+        lambda x: _let(
+            F.array_sort(F.concat(x["base"], x["added"])),
+            lambda spans: F.when(F.size(spans) > 0, _masked(own, spans, lambda n: F.lit(MASK))).otherwise(own),
+        ),
     )
-    changed = F.when(F.size("_all") > 0, masked).otherwise(F.col("_whole"))
-    return found.select(*(changed.alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in columns))
+    return docs.withColumn(text, changed)
 
 
 def default_model(docs: DataFrame) -> Model:
-    """Both models, trained from labelled_samples of the documents."""
-    return fit(labelled_samples(docs))
+    """All models, trained from labelled_samples with words of the documents."""
+    return fit(labelled_samples(docs.sparkSession, sample_words(docs)))
 
 
 def _written(spans: Column) -> Column:
