@@ -86,6 +86,10 @@ class PieceTokenizer:
         if self.plain:
             self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
             self.ends[[i for word, i in model["vocab"].items() if word.endswith(WORD_END)]] = True
+            # pre-tokens need neither be made normal nor be cut again
+            line = {"type": "Split", "behavior": "Removed", "invert": False, "pattern": {"String": " "}}
+            bare = {"type": "Sequence", "pretokenizers": [line, PLAIN["pre_tokenizer"]["pretokenizers"][1]]}
+            self.words = Tokenizer.from_str(json.dumps(said | {"normalizer": None, "pre_tokenizer": bare, "added_tokens": []}))
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -93,7 +97,8 @@ class PieceTokenizer:
         return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        ids = np.array(self.model.encode(" ".join(pieces), add_special_tokens=False).ids, np.uint32)
+        encoded = self.words.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids
+        ids = np.frombuffer(array("I", encoded), np.uint32)
         stops = np.flatnonzero(self.ends[ids]) + 1
         data = ids.tobytes()
         if len(stops) != len(pieces):
@@ -104,26 +109,33 @@ class PieceTokenizer:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
         out: list[bytes | None] = [None] * len(texts)
-        cut: dict[int, list[str]] = {}
+        cut: list[tuple[int, list, dict[int, str]]] = []
+        fresh: set[str] = set()
+        if len(self.known) > KNOWN:
+            self.known, self.older = {}, self.known
         for i, text in enumerate(texts):
-            try:
-                text.encode("latin-1")
-            except UnicodeEncodeError:
+            if not self.plain or not _latin(text) or (self.added and self.added.search(text)):
                 out[i] = self._whole(text)
                 continue
-            if not self.plain or (self.added and self.added.search(text)):
-                out[i] = self._whole(text)
-            else:
-                cut[i] = PIECE.findall(text.lower())
-        if len(self.known) > KNOWN:
-            self.known, self.older = {}, self.known
-        fresh = set().union(*cut.values()).difference(self.known)
-        again = {x: self.older[x] for x in fresh.intersection(self.older)}
-        fresh = list(fresh.difference(again))
-        self.known |= again
-        self.known |= self._learn(fresh) if fresh else {}
-        for i, pieces in cut.items():
-            out[i] = b"".join(map(self.known.__getitem__, pieces))
+            pieces = PIECE.findall(text.lower())
+            found = list(map(self.known.get, pieces))
+            if None not in found:
+                out[i] = b"".join(found)
+                continue
+            missing, at = {}, -1
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                missing[at] = pieces[at]
+            cut.append((i, found, missing))
+            fresh.update(missing.values())
+        self.known |= {x: self.older[x] for x in fresh.intersection(self.older)}
+        fresh = [x for x in fresh if x not in self.known]
+        if fresh:
+            self.known |= self._learn(fresh)
+        for i, found, missing in cut:
+            for at, piece in missing.items():
+                found[at] = self.known[piece]
+            out[i] = b"".join(found)
         for piece in fresh:
             if len(piece) > KEY_LENGTH:
                 del self.known[piece]
@@ -134,6 +146,14 @@ class PieceTokenizer:
         return self.encode_all([text])[0]
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 @lru_cache(maxsize=2)
 def piece_tokenizer(path: str) -> PieceTokenizer:
     return PieceTokenizer(path)
