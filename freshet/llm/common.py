@@ -15,13 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which every executor sees. Where it is unset
-    (tests, a single machine) a temporary folder is made and set."""
+    """The folder of spark.checkpoint.dir, which every executor sees. Where it is unset and the master
+    is local (tests, a single machine) a temporary folder is made and set; on a cluster that is an
+    error, as no folder of one machine would do."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             return jvm_dir.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="freshet-")
         spark.sparkContext.setCheckpointDir(found)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -30,12 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage is cut, and a
-    lost executor costs no more than rereading the table. The table goes when the session ends."""
+    lost executor costs no more than rereading the table. The table goes when the session ends, or
+    by release()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/freshet-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(discard, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._freshet_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Remove the table behind a frame of materialize() that nothing reads any more."""
+    path = getattr(df, "_freshet_path", None)
+    if path:
+        discard(df.sparkSession, path)
 
 
 def discard(spark: SparkSession, path: str) -> None:

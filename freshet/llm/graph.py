@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import materialize
+from freshet.llm.common import materialize, release
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -19,16 +19,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while not live.isEmpty():
         both = live.union(live.select("b", "a"))
         hop = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("p"))
-        hop = materialize(hop, "hop")
+        first = materialize(hop, "hop")
         # a node's pointer may itself point on: follow it once more
-        on = hop.select(F.col("v").alias("p"), F.col("p").alias("p2"))
-        hop = materialize(hop.join(on, "p").select("v", F.col("p2").alias("p")), "hop")
+        on = first.select(F.col("v").alias("p"), F.col("p").alias("p2"))
+        hop = materialize(first.join(on, "p").select("v", F.col("p2").alias("p")), "hop")
         left = hop.select(F.col("v").alias("a"), F.col("p").alias("pa"))
         right = hop.select(F.col("v").alias("b"), F.col("p").alias("pb"))
         moved = live.join(left, "a").join(right, "b").where("pa <> pb")
-        live = materialize(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        fewer = materialize(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
         to = hop.select(F.col("v").alias("component"), F.col("p").alias("next"))
-        labels = materialize(
+        pointed = materialize(
             labels.join(to, "component", "left").select("node", F.coalesce("next", "component").alias("component")), "labels"
         )
+        for done in (first, hop, live, labels):
+            release(done)
+        live, labels = fewer, pointed
     return labels

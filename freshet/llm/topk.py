@@ -1,13 +1,13 @@
 """Exact top-k inner-product search by a dual-tree traversal over cover trees.
 
-Candidates are searched partition by partition, queries in blocks of a bounded size that are sent to
-every task; both sides are indexed by a cover tree. A node's children are chosen by farthest-first
+Queries and candidates are dealt into blocks of a bounded size, and a task meets one block of each; no
+vector reaches the driver. Both blocks are indexed by cover trees. A node's children are chosen by farthest-first
 traversal from the node's own centre, so they are at least their scale apart and cover the node's
 points within it (separation, covering, nesting), and every node keeps the true radius of its points.
 For a pair of nodes, <q, c> <= <Q, C> + |Q| r_C + |C| r_Q + r_Q r_C bounds every score; the pair is
 pruned when the bound is below the worst kth score among the query node's queries, and pairs of leaves
 are scored exactly. The most promising pairs are visited first. A task reports each query's k best, and
-a last step ranks them over all tasks; ties go to the smaller id.
+a last step ranks them over all blocks; ties go to the smaller id.
 
 Components are turned into floor(scale * x); scores are exact integers while their absolute sum stays
 below 2**53.
@@ -22,14 +22,14 @@ are not read.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from freshet.llm.common import table
+from freshet.llm.common import materialize, table
 
 #: Points of a leaf, children of a node, candidates of one tree.
 LEAF, FANOUT, TREE = 96, 12, 16_384
@@ -143,10 +143,10 @@ def _whole(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
     return rows.select("id", F.transform("x", lambda v: F.floor(v * scale).cast("double")).alias("x"))
 
 
-def _matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def _matrix(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Vectors by their number of components: their places, and a matrix."""
-    lengths = np.asarray(column.value_lengths())
-    flat, begin = column.flatten().to_numpy(), np.cumsum(lengths) - lengths
+    lengths = np.asarray(pc.list_value_length(column))
+    flat, begin = pc.list_flatten(column).to_numpy(), np.cumsum(lengths) - lengths
     out = {}
     for n in np.unique(lengths).tolist():
         at = np.flatnonzero(lengths == n)
@@ -154,62 +154,47 @@ def _matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, query_block: int = 16_384, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: each query's k best candidates but itself. Queries go to
-    the tasks in blocks of query_block rows, the only rows that reach the driver."""
-    spark = candidates.sparkSession
-    asked = _whole(queries, key, vector, scale).distinct()
+def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, query_block: int = 32_768, candidate_block: int = 65_536, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: each query's k best candidates but itself. A task holds
+    about query_block queries and candidate_block candidates, less where there are too few blocks for
+    all cores; every candidate is sent once for each block of queries and the other way round."""
+    cores = candidates.sparkSession.sparkContext.defaultParallelism
+    asked = _whole(queries, key, vector, scale).distinct().withColumn("place", F.monotonically_increasing_id())
+    asked = materialize(asked, "queries")  # place tells apart the vectors of a query id that has several
     rows = _whole(candidates, key, vector, scale)
     blocks = max(1, -(-asked.count() // query_block))
-    parts = []
-    for number in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("id", "x"), F.lit(blocks)) == number).toArrow().combine_chunks()
-        by_length = {}
-        if block.num_rows:
-            ids = block.column("id").to_numpy()
-            column = block.column("x").chunk(0)
-            by_length = {n: (ids[at], x) for n, (at, x) in _matrix(column).items()}
-        shared = spark.sparkContext.broadcast(by_length)
-        parts.append(rows.mapInArrow(_searcher(shared, k), "query long, vec long, score long, place long"))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.union(part)
-    rank = F.row_number().over(Window.partitionBy("query", "place").orderBy(F.desc("score"), "vec"))
+    n = candidates.count()
+    cells = max(1, -(-n // candidate_block), min(-(-n // 4096), 2 * cores // blocks))
+    number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(cells)).cast("int")
+    rows = rows.select("id", "x", number.alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    asked = asked.select(
+        "id", "x", "place", F.pmod(F.xxhash64("place"), F.lit(blocks)).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"),
+    )
+    met = asked.groupBy("block", "cell").cogroup(rows.groupBy("block", "cell"))
+    found = met.applyInArrow(_searcher(k), "query long, vec long, score long, place long")
+    rank = F.row_number().over(Window.partitionBy("place").orderBy(F.desc("score"), "vec"))
     ranked = found.withColumn("rank", rank).where(F.col("rank") <= k)
     return ranked.select(F.col("query").alias("query_id"), "rank", F.col("vec").alias(key), "score")
 
 
-def _searcher(shared, k: int):
-    """place tells apart the vectors of a query id that has several."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = {n: (CoverTree(x), ids) for n, (ids, x) in shared.value.items()}
-        best = {n: Best(len(ids), k) for n, (_, ids) in trees.items()}
-        held: dict[int, list] = {n: [] for n in trees}
-
-        def flush(n):
-            ids, points = (np.concatenate(c) for c in zip(*held[n]))
-            held[n] = []
-            search(*trees[n], CoverTree(points), ids, best[n])
-
-        for batch in batches:
-            for n, (at, points) in _matrix(batch.column(1)).items():
-                if n in trees:
-                    held[n].append((batch.column(0).to_numpy()[at], points))
-                    if sum(len(x[0]) for x in held[n]) >= TREE:
-                        flush(n)
-        for n, (tree, ids) in trees.items():
-            if held[n]:
-                flush(n)
-            q, j = np.nonzero(np.isfinite(best[n].scores))
-            place = tree.rows[q]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids[place]), pa.array(best[n].ids[q, j]),
-                    pa.array(best[n].scores[q, j].astype(np.int64)), pa.array(place * 4096 + n),
-                ],
-                names=["query", "vec", "score", "place"],
-            )
+def _searcher(k: int):
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        ids, places = asked.column("id").to_numpy(), asked.column("place").to_numpy()
+        names = rows.column("id").to_numpy()
+        near = _matrix(rows.column("x")) if rows.num_rows else {}
+        out = [[np.empty(0, np.int64)] * 4]
+        for n, (at, x) in (_matrix(asked.column("x")) if asked.num_rows else {}).items():
+            if n not in near:
+                continue
+            tree, best = CoverTree(x), Best(len(at), k)
+            own, points = near[n]
+            for low in range(0, len(own), TREE):
+                search(tree, ids[at], CoverTree(points[low : low + TREE]), names[own[low : low + TREE]], best)
+            q, j = np.nonzero(np.isfinite(best.scores))
+            place = at[tree.rows[q]]
+            out.append([ids[place], best.ids[q, j], best.scores[q, j].astype(np.int64), places[place]])
+        return pa.table([np.concatenate(c) for c in zip(*out)], names=["query", "vec", "score", "place"])
 
     return run
 
