@@ -10,6 +10,12 @@ fallbacks, svg beyond its <text> and <foreignObject> (so not definitions, nor wh
 annotations and phantoms of formulas, closed <details> but for their summary, closed <dialog>, hidden inputs, the hidden
 attribute, display:none, and visibility:hidden where no descendant sets it back.
 
+Work and output are in proportion to the page. Tags are read in one pass; a tag that the page's end
+cuts off is dropped, a quote that never closes is an ordinary character. Spaces that align the columns
+of tables add at most PADDING times the page's length and a constant: beyond that the widest columns,
+and then all, are not waited for; cells then stand two spaces apart. Indents end at INDENT. Of rows,
+the first COLUMNS columns know of cells that reach down into them.
+
 Cases: null or empty HTML gives an empty text; malformed HTML never fails: unknown end tags are
 ignored and unclosed elements end with the page; elements nested deeper than DEPTH become siblings,
 their text is kept; repeated rows are rendered each on its own; an empty table gives an empty result;
@@ -20,7 +26,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +35,8 @@ from pyspark.sql import functions as F
 from freshet.llm.common import table
 
 DEPTH = 150
+#: Spaces for alignment as a multiple of the page, and besides; the widest indent; columns with a memory.
+PADDING, FREE_PADDING, INDENT, COLUMNS = 4, 20_000, 40, 1000
 BATCH_BYTES = 16 << 20
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -67,6 +75,15 @@ ENDS = {
     "body": ({"head"}, set()),
 }
 P_BORDERS = set("table td th caption button object body".split())
+#: Elements whose content is no markup, and those of them whose character references count.
+RAW, REFERENCED = set("script style xmp iframe noembed noframes textarea title plaintext".split()), {"textarea", "title"}
+_NAME = re.compile(r"[a-zA-Z][^\t\n\r\f />]*")
+_BETWEEN = re.compile(r"[\t\n\r\f /]*")
+_ATTRIBUTE = re.compile(r"=?[^\t\n\r\f />=]*")
+_EQUALS = re.compile(r"[\t\n\r\f ]*=[\t\n\r\f ]*")
+_BARE = re.compile(r"[^\t\n\r\f >]*")
+_COMMENT_END = re.compile(r"--!?>")
+_ZEROS, _LARGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,}")
 _WHITE = re.compile(r"[ \t\n\r\f]+")
 _DIGITS = re.compile(r"\s*(-?\d{1,6})")
 
@@ -89,14 +106,99 @@ class Element:
         return int(found[1]) if found else default
 
 
-class TreeBuilder(HTMLParser):
+def _plain(text: str) -> str:
+    """text with its character references resolved."""
+    if "&" not in text:
+        return text
+    if "&#" in text:
+        text = _LARGE.sub("&#9999999", _ZEROS.sub("&#", text))
+    return unescape(text)
+
+
+def _after(pattern: re.Pattern, text: str, at: int) -> int:
+    return pattern.match(text, at).end()
+
+
+class TreeBuilder:
     """Elements and strings of a page, under one root."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.root = Element("#root", {})
         self.open = [self.root]
 
+    def feed(self, html: str) -> None:
+        """Read a whole page."""
+        html = html.replace("\r\n", "\n")
+        self.html, at, n = html, 0, len(html)
+        self.last = {c: html.rfind(c) for c in ">\"'"}
+        while at < n:
+            tag = html.find("<", at)
+            while tag >= 0 and not (html[tag + 1 : tag + 2].isalpha() and html[tag + 1].isascii() or html[tag + 1 : tag + 2] in ("/", "!", "?")):
+                tag = html.find("<", tag + 1)
+            stop = n if tag < 0 else tag
+            if stop > at:
+                self.handle_data(_plain(html[at:stop]))
+            if tag < 0:
+                return
+            at = self._markup(tag)
+
+    def _markup(self, at: int) -> int:
+        """Read what begins with the < at at; returns where it ends."""
+        html = self.html
+        if html.startswith("<!--", at):
+            if html.startswith(">", at + 4) or html.startswith("->", at + 4):
+                return html.index(">", at) + 1
+            found = _COMMENT_END.search(html, at + 4)
+            return found.end() if found else len(html)
+        if html.startswith("<![CDATA[", at) and any(x.tag in FOREIGN for x in self.open):
+            end = html.find("]]>", at)
+            self.handle_data(html[at + 9 : end if end >= 0 else len(html)])
+            return end + 3 if end >= 0 else len(html)
+        name = _NAME.match(html, at + 2 if html.startswith("/", at + 1) else at + 1)
+        if not name:
+            end = html.find(">", at)
+            return end + 1 if end >= 0 else len(html)
+        attrs, at_end = self._attributes(name.end())
+        if at_end < 0:
+            return len(html)
+        tag = name[0].lower()
+        if html.startswith("/", at + 1):
+            self.handle_endtag(tag)
+            return at_end
+        if html.startswith("/", at_end - 2):
+            self.handle_startendtag(tag, attrs)
+        else:
+            self.handle_starttag(tag, attrs)
+        if tag not in RAW or any(x.tag in FOREIGN for x in self.open):
+            return at_end
+        close = re.compile(f"</{tag}(?=[\t\n\r\f />])", re.IGNORECASE).search(html, at_end) if tag != "plaintext" else None
+        stop = close.start() if close else len(html)
+        if stop > at_end:
+            self.handle_data(_plain(html[at_end:stop]) if tag in REFERENCED else html[at_end:stop])
+        return stop
+
+    def _attributes(self, at: int) -> tuple[list[tuple[str, str]], int]:
+        """Attributes from at on, and the place after the tag's >, or -1 where the page ends before."""
+        html, found = self.html, []
+        while self.last[">"] >= at:
+            at = _after(_BETWEEN, html, at)
+            if html.startswith(">", at):
+                return found, at + 1
+            end = _after(_ATTRIBUTE, html, at)
+            name, at, value = html[at:end].lower(), end, ""
+            equals = _EQUALS.match(html, at)
+            if equals:
+                at = equals.end()
+                quote = html[at : at + 1]
+                if quote in ("'", '"') and self.last[quote] > at:
+                    end = html.index(quote, at + 1)
+                    value, at = html[at + 1 : end], end + 1
+                else:
+                    end = _after(_BARE, html, at)
+                    value, at = html[at:end], end
+            found.append((name, _plain(value)))
+        return found, -1
+
     def handle_starttag(self, tag, attrs):
         if tag not in METADATA:
             self._end_head()
@@ -106,7 +208,7 @@ class TreeBuilder(HTMLParser):
             self._end_above({"p"}, P_BORDERS)
         if tag in ENDS:
             self._end_above(*ENDS[tag])
-        element = Element(tag, {k: v or "" for k, v in attrs})
+        element = Element(tag, dict(reversed(attrs)))
         self.open[-1].children.append(element)
         if tag not in VOID and len(self.open) < DEPTH:
             self.open.append(element)
@@ -153,9 +255,11 @@ class TreeBuilder(HTMLParser):
 
 
 class Page:
-    """Lines of text being laid out. indent goes before every line, mark in its place before the next."""
+    """Lines of text being laid out. indent goes before every line, mark in its place before the next;
+    budget[0] spaces are left for alignment on the whole page."""
 
-    def __init__(self):
+    def __init__(self, budget: list[int]):
+        self.budget = budget
         self.lines: list[str] = []
         self.now: list[str] = []
         self.indent, self.mark = "", None
@@ -226,7 +330,7 @@ def _lay(element: Element, page: Page, pre: bool, visible: bool) -> None:
             page.space()
         elif tag == "table":
             page.space()
-            for line in _table(child, pre, seen):
+            for line in _table(child, pre, seen, page.budget):
                 page.now.append(line)
                 page.end(True)
             page.space()
@@ -237,7 +341,7 @@ def _lay(element: Element, page: Page, pre: bool, visible: bool) -> None:
                 _list(child, page, pre, seen)
             else:
                 if tag in ("blockquote", "dd"):
-                    page.indent += "  "
+                    page.indent = (page.indent + "  ")[:INDENT]
                 _lay(child, page, pre or tag == "pre" or child.style("white-space").startswith("pre"), seen)
             page.end()
             page.indent = outer
@@ -288,13 +392,13 @@ def _list(element: Element, page: Page, pre: bool, visible: bool) -> None:
         mark = f"{number}. " if element.tag == "ol" else "- "
         number += 1
         page.end()
-        page.indent, page.mark = outer + " " * len(mark), outer + mark
+        page.indent, page.mark = (outer + " " * len(mark))[:INDENT], outer + mark
         _lay(child, page, pre, {"hidden": False, "visible": True}.get(child.style("visibility"), visible))
         page.end()
         page.indent, page.mark = outer, None
 
 
-def _table(element: Element, pre: bool, visible: bool) -> list[str]:
+def _table(element: Element, pre: bool, visible: bool, budget: list[int]) -> list[str]:
     """Lines of a table: captions, then the rows with their cells in aligned columns."""
     captions: list[str] = []
     rows: list[list[Element]] = []
@@ -309,7 +413,7 @@ def _table(element: Element, pre: bool, visible: bool) -> list[str]:
             if not _shown(child):
                 continue
             if child.tag == "caption":
-                captions.extend(_cell(child, pre, visible))
+                captions.extend(_cell(child, pre, visible, budget))
             elif child.tag in ("thead", "tbody", "tfoot"):
                 gather(child)
             elif child.tag == "tr":
@@ -333,8 +437,8 @@ def _table(element: Element, pre: bool, visible: bool) -> list[str]:
                 at += 1
             across = min(max(1, cell.number("colspan", 1)), 1000)
             down = min(max(1, cell.number("rowspan", 1)), 65534)
-            cells[at], wide[at] = _cell(cell, pre, visible), across
-            for x in range(at, at + across):
+            cells[at], wide[at] = _cell(cell, pre, visible, budget), across
+            for x in range(at, min(at + across, COLUMNS)):
                 taken[x] = max(taken.get(x, 0), down)
             at += across
         taken = {x: n - 1 for x, n in taken.items() if n > 1}
@@ -346,18 +450,30 @@ def _table(element: Element, pre: bool, visible: bool) -> list[str]:
             widths.setdefault(at, 0)
             if wide[at] == 1:
                 widths[at] = max(widths[at], max(map(len, lines), default=0))
-    columns = sorted(widths)
-    starts = {c: sum(widths[x] for x in columns[:i]) + 2 * i for i, c in enumerate(columns)}
+    columns, starts = sorted(widths), {}
+    for widest in (None, 200, 80, 40, 16):
+        at = 0
+        for column in columns:
+            starts[column] = at
+            at += (widths[column] if widest is None else min(widths[column], widest)) + 2
+        # at most so many spaces: a line's last cell begins there
+        needed = sum(starts[max(cells)] * max(map(len, cells.values())) for cells in grid if cells)
+        if needed <= budget[0]:
+            budget[0] -= needed
+            break
+    else:
+        starts = dict.fromkeys(columns, 0)
     out = list(captions)
     for cells in grid:
-        for i in range(max((len(x) for x in cells.values()), default=0)):
-            line = ""
-            for column in columns:
-                own = cells.get(column, [])
-                if i < len(own) and own[i]:
-                    line = line.ljust(starts[column]) if len(line) <= starts[column] else line + "  "
-                    line += own[i]
-            out.append(line.rstrip())
+        parts: list[list[str]] = [[] for _ in range(max(map(len, cells.values()), default=0))]
+        ends = [0] * len(parts)
+        for column in sorted(cells):
+            for i, own in enumerate(cells[column]):
+                if own:
+                    gap = starts[column] - ends[i] if ends[i] <= starts[column] else 2
+                    parts[i].append(" " * gap + own)
+                    ends[i] += gap + len(own)
+        out.extend("".join(x).rstrip() for x in parts)
     return out
 
 
@@ -373,8 +489,8 @@ def _cells(row: Element) -> list[Element]:
     return [x if isinstance(x, Element) and x.tag in ("td", "th") else _held(x) for x in found]
 
 
-def _cell(cell: Element, pre: bool, visible: bool) -> list[str]:
-    page = Page()
+def _cell(cell: Element, pre: bool, visible: bool, budget: list[int]) -> list[str]:
+    page = Page(budget)
     _lay(cell, page, pre, {"hidden": False, "visible": True}.get(cell.style("visibility"), visible))
     return page.done()
 
@@ -385,8 +501,7 @@ def render(html: str | None) -> str:
         return ""
     builder = TreeBuilder()
     builder.feed(html)
-    builder.close()
-    page = Page()
+    page = Page([PADDING * len(html) + FREE_PADDING])
     _lay(builder.root, page, False, True)
     return "\n".join(page.done())
 

@@ -61,3 +61,67 @@ def test_all_pages_keep_their_words(spark):
 ])
 def test_open_heads_and_foreign_content(html, text):
     assert render(html) == text
+
+
+HOSTILE = {
+    "cut tags": "<a " * 20000,
+    "one long cell": "<table><tr><td>" + "x" * 100_000 + "<td>y</tr>" + "<tr><td>a<td>b</tr>" * 1000 + "</table>",
+    "quotes": "<p a='\"'" * 20000,
+    "comments": "<!--" * 20000,
+    "scripts": "<script>" * 20000,
+    "sections": "<svg>" + "<![CDATA[" * 20000,
+    "signs": "<" * 100_000,
+    "spans": "<table><tr>" + "<td colspan=1000 rowspan=65534>" * 500 + "<tr><td>x" * 5000,
+    "wide": "<table><tr>" + "<td>a" * 30000 + "<tr><td>x" * 10000,
+    "deep lists": "<ul><li>" * 80 + "a<br>" * 20000,
+    "many tables": "<table><tr><td>" * 60 + "a<td>b" * 1000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_time_and_size_in_proportion(name):
+    import time
+
+    began = time.process_time()
+    out = render(HOSTILE[name])
+    assert time.process_time() - began < 2
+    assert len(out) <= 10 * len(HOSTILE[name])
+
+
+def test_long_cells_keep_all_text():
+    words = render(HOSTILE["one long cell"]).split()
+    assert words == ["x" * 100_000, "y"] + ["a", "b"] * 1000
+
+
+@pytest.mark.parametrize("html,text", [
+    ('<p title="a > b" x=\'>\'>t', "t"),
+    ("<p title=\"never closed>t</p>", "t"),
+    ("a<!-->b<!--->c<!-- x --!>d<!DOCTYPE e>f<?g?>h</>i</ j>k", "abcdfhik"),
+    ("<script>if (a</b) '</script >'</script>x", "'x"),
+    ("<textarea>a &amp; <b></textarea>", "a & <b>"),
+    ("a < b <3 &#0065;&#99999999999;", "a < b <3 A�"),
+    ("<svg><text><![CDATA[a<b]]></text></svg><![CDATA[no]]>", "a<b"),
+    ("<b", ""),
+    ("x<b y", "x"),
+])
+def test_tags_and_references(html, text):
+    assert render(html) == text
+
+
+def test_all_visible_words_survive(spark):
+    """Against a plain removal of what is not shown, of tags and of references."""
+    import html as library
+    import re
+
+    gone = re.compile(r"(?is)<!--.*?-->|<(script|style|head|title|template|noscript|iframe|object|video|audio|canvas|datalist)\b.*?</\1\s*>|<![^>]*>")
+    hidden = re.compile(r"(?i)<[^>]*\bhidden\b|display:\s*none|visibility:|<dialog|<details|<svg|<math")
+    seen = 0
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        if hidden.search(r.html or ""):
+            continue
+        plain = library.unescape(re.sub(r"<[^>]*>", " ", gone.sub(" ", r.html or "")))
+        # list marks may stand between
+        shown = iter(re.findall(r"\w", render(r.html)))
+        assert all(x in shown for x in re.findall(r"\w", plain))
+        seen += 1
+    assert seen > 20
