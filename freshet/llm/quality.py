@@ -3,7 +3,8 @@
 A base rule rejects documents of fewer than 10 words or with over a fifth of their words in repeated
 five-word windows. Beyond it, every signal of a document (share of symbols, of repeated lines, of
 capital letters, mean word length both ways, share of distinct words both ways) has a list of
-candidate cutoffs. Per stratum (language), labelled documents are dealt by hash into two halves. The
+candidate cutoffs. Per stratum (language), labelled texts are dealt by a hash of the text into two
+halves; copies of a text are one trial, so trials are as independent as texts are. The
 first half orders nothing but proposes: a cutoff is a candidate where it rejects bad documents more
 often than good ones. On the second half (the holdout), the exact binomial test asks whether the cutoff's
 false-rejection rate, the share of good documents it rejects, may still exceed alpha: with k
@@ -17,7 +18,8 @@ the most good documents in the holdout; all others, labelled or not, share one c
 guarantee is for its documents together.
 
 Cases: a null or empty text has no words and fails the base rule; null strata form one stratum of
-their own; null or absent labels don't count; a document labelled twice counts twice; a stratum
+their own; null or absent labels don't count; a text whose labels differ, by copies or by repeated
+labels, is a bad one; a stratum
 of its own without enough labels has no certified cutoff and keeps all that passes the base rule; an empty table
 gives an empty result; extra columns are not read.
 """
@@ -29,6 +31,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +54,8 @@ SIGNALS: dict[str, tuple[int, list[float]]] = {
 }
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MORE = ["n_upper", "n_letters", "n_digits", "n_distinct", "n_lines"]
+#: Windows of a text beyond which they are numbered, not written out.
+LONG = 20_000
 #: The common stratum of all that have none of their own.
 REST = ()
 _SPACES = bytes([32, *range(9, 14)])
@@ -67,6 +72,8 @@ def repeated_words(words: list[bytes], width: int = 5) -> int:
     count = len(words) - width + 1
     if count < 2:
         return 0
+    if count > LONG:
+        return _repeated_in_long(words, width)
     windows = list(zip(*(words[i:] for i in range(width))))
     if len(set(windows)) == count:
         return 0
@@ -79,6 +86,24 @@ def repeated_words(words: list[bytes], width: int = 5) -> int:
     return covered
 
 
+def _repeated_in_long(words: list[bytes], width: int) -> int:
+    """The same with windows numbered by doubling: a window is a pair of numbers of shorter ones, so
+    a word costs a few integers and no window is ever written out."""
+    known: dict[bytes, int] = {}
+    single = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+    del known
+    number, size = single, 1
+    while size < width:
+        step = min(size, width - size)
+        pairs = number[: len(words) - size - step + 1] * len(words) + number[step : len(words) - size + 1]
+        number, size = np.unique(pairs, return_inverse=True)[1], size + step
+    twice = np.bincount(number)[number] > 1
+    edges = np.zeros(len(words) + 1, np.int64)
+    edges[: len(twice)] += twice
+    edges[width : width + len(twice)] -= twice
+    return int((np.cumsum(edges[:-1]) > 0).sum())
+
+
 def measure(text: str) -> tuple[int, ...]:
     """COUNTS and then MORE of one text."""
     data = text.encode()
@@ -116,10 +141,10 @@ def _counted(rows: DataFrame, text: str) -> DataFrame:
 
 
 def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum and the counts of every document, in one pass over the texts."""
+    """doc_id, stratum, copy (a hash of the text) and the counts of every document, in one pass over the texts."""
     rows = docs.select(
         F.col(key).cast("long").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"),
-        F.col(text).cast("string").alias("text"),
+        F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("copy"), F.col(text).cast("string").alias("text"),
     )
     return _counted(rows, "text").drop("text")
 
@@ -180,7 +205,9 @@ def thresholds(rows: DataFrame, labels: DataFrame, alpha: float, delta: float, m
     the strata that stand on their own."""
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     joined = rows.join(good.where("doc_id is not null and quality is not null"), "doc_id").where(~base_failed())
-    half = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(2))
+    # a text counts once, however many copies and labels it has
+    trials = joined.groupBy("stratum", "copy").agg(F.min("quality").alias("quality"), *(F.first(x).alias(f"s_{n}") for n, x in _signals().items()))
+    half = F.pmod(F.xxhash64(F.col("copy"), F.lit(17)), F.lit(2))
     sums = []
     for name, test in (("pg", (half == 0) & (F.col("quality") == 1)), ("pb", (half == 0) & (F.col("quality") == 0)), ("hg", (half == 1) & (F.col("quality") == 1))):
         sums.append(F.count_if(test).alias(name))
@@ -188,8 +215,7 @@ def thresholds(rows: DataFrame, labels: DataFrame, alpha: float, delta: float, m
             value = F.col(f"s_{signal}")
             for at, cutoff in enumerate(cutoffs):
                 sums.append(F.count_if(test & (value > cutoff if sign > 0 else value < cutoff)).alias(f"{name}_{signal}_{at}"))
-    joined = joined.select("stratum", "doc_id", "quality", *(x.alias(f"s_{n}") for n, x in _signals().items()))
-    counted = materialize(joined.groupBy("stratum").agg(*sums), "strata")
+    counted = materialize(trials.groupBy("stratum").agg(*sums), "strata")
     found = [r.asDict() for r in counted.orderBy(F.desc("hg"), "stratum").limit(max_strata).collect()]
     own = [r["stratum"] for r in found]
     others = counted.where(~_among(own))
