@@ -3,13 +3,15 @@
 1. Sketch. One pass over the texts hashes every document's distinct shingles and keeps their count, a
    128-bit digest of the set, and `coords` minwise hashes. Equal sets are one class from here on, so
    a group of exact copies, however large, is one row.
-2. Branch. Each of `trees` independent trees sends a class down `branch` paths: the path's node is
-   named by a chosen minwise coordinate and the class's token there. A node of more than `node_limit`
-   classes branches again on coordinates chosen by a hash of the node; smaller ones, and after
-   `depth` levels the dense nodes that stay large, are compared exhaustively by their minwise hashes
-   (large nodes in pairs of blocks, so no task holds more than two blocks). A pair at similarity s
-   is missed by one tree with the probability q of the fixed point q = (1 - s * (1 - q)) ** branch
-   at worst: for s = 0.85 and 2 branches 0.031, and so below 1e-6 with 4 trees.
+2. Branch. Each of `trees` trees sends a class down `branch` paths: the path's node is named by a
+   chosen minwise coordinate and the class's token there. A node of more than `node_limit` classes
+   branches again on coordinates chosen by a hash of the node; smaller ones, and after `depth` levels
+   the dense nodes that stay large, are compared exhaustively by their minwise hashes (large nodes in
+   pairs of blocks, so no task holds more than two blocks). A tree has coordinates of its own, and
+   each of its levels has some of them, so trees are independent and no path meets a coordinate
+   twice. A pair at similarity s is missed by one tree with the probability q of the fixed point
+   q = (1 - s * (1 - q)) ** branch at worst: for s = 0.85 and 2 branches 0.031, and so about 1e-6
+   with 4 trees (were the branches of one level independent; they share that level's coordinates).
 3. Confirm. Candidates (estimates no more than five standard deviations below the threshold) are
    gathered in connected clusters; every pair of classes of a cluster is compared on the full sets,
    again in pairs of blocks where a cluster is large. Confirmed links give the components.
@@ -21,7 +23,9 @@ one shingle, its whole sequence.
 
 Cases: a null or empty text, or one without words, has no shingles and links with nothing; a document
 without an id has a null component and is kept; rows that repeat an id and a text are both in the
-id's component; an empty table gives an empty result; extra columns are not read.
+id's component; rows that repeat an id with other texts are documents of their own, linked by their
+texts alone; an empty table gives an empty result; extra columns are not read. one_of_each() goes by
+rows: of any rows in one group, repeated ids and rows without an id among them, one stays.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ from pyspark.sql import functions as F
 
 from freshet.llm.common import materialize, table
 from freshet.llm.graph import components
-from freshet.llm.text import word_hashes
+from freshet.llm.text import hashed_words, mixed
 
 #: Elements of a block of minwise products.
 BLOCK = 8192
@@ -58,9 +62,19 @@ class Join:
     trees: int = 4
     branch: int = 2
     coords: int = 64
-    node_limit: int = 1024
+    node_limit: int = 256
     depth: int = 3
 
+    def __post_init__(self):
+        if self.coords // self.trees < self.branch * (self.depth + 1):
+            raise ValueError("a tree needs `branch` coordinates for each of its levels")
+
+    def level(self, tree: int, level: int) -> tuple[int, int]:
+        """The first coordinate of a tree's level, and how many it has."""
+        own = self.coords // self.trees
+        first, last = own * level // (self.depth + 1), own * (level + 1) // (self.depth + 1)
+        return tree * own + first, last - first
+
     @property
     def least_equal(self) -> int:
         """Equal coordinates, of coords, that make a candidate."""
@@ -68,24 +82,24 @@ class Join:
         return max(1, math.floor(self.coords * (s - 5 * math.sqrt(s * (1 - s) / self.coords))))
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def shingles(text: str, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles."""
-    hashes = word_hashes(text)
+def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of a text's word hashes."""
     if not len(hashes):
         return hashes
     span = min(width, len(hashes))
     out = np.full(len(hashes) - span + 1, span, np.uint64)
     for i in range(span):
-        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : len(hashes) - span + 1 + i])
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : len(hashes) - span + 1 + i])
     return np.unique(out)
 
 
+def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """The shingles of every text of a column."""
+    for hashes, counts in hashed_words(column):
+        for stop, n in zip(np.cumsum(counts).tolist(), counts.tolist()):
+            yield shingles(hashes[stop - n : stop], width)
+
+
 def minwise(found: np.ndarray, coords: int) -> bytes:
     """The top 32 bits of coords minwise hashes of a set."""
     draw = np.random.default_rng(20_240_607)
@@ -103,8 +117,7 @@ def sketch(docs: DataFrame, how: Join, key: str = "doc_id", text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, ids, sigs = [], [], []
-            for value in batch.column(1):
-                found = shingles(value.as_py() or "", how.width)
+            for found in _sets(batch.column(1), how.width):
                 sizes.append(len(found))
                 ids.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 sigs.append(minwise(found, how.coords) if len(found) else None)
@@ -265,13 +278,15 @@ def _compared(rows: DataFrame, how: Join) -> DataFrame:
 def candidates(classes: DataFrame, how: Join) -> DataFrame:
     """Edges (a, b) between classes (rep, sig) that meet in a node and look similar. Only large nodes
     are listed apart: each has over node_limit classes, so there are few of them."""
-    seed = F.lit(how.trees)
-    roots = [
-        F.xxhash64(seed, F.lit(t), F.lit(s), _token(F.lit((t * how.branch + s) % how.coords)))
-        for t in range(how.trees)
-        for s in range(how.branch)
-    ]
-    rows = classes.select("rep", "sig", F.explode(F.array(*roots)).alias("node"))
+    def paths(tree: Column, level: int, node: Column) -> Column:
+        """The nodes below node (a number): `branch` different coordinates of the tree's level, from a
+        place that the node's hash chooses."""
+        first, n = how.level(0, level)
+        at = [F.pmod(F.xxhash64(node, F.lit(level)) + s, F.lit(n)) + first + tree * (how.coords // how.trees) for s in range(how.branch)]
+        return F.array(*(F.xxhash64(node, x, _token(x.cast("int"))) for x in at))
+
+    roots = F.flatten(F.array(*(F.transform(paths(F.lit(t), 0, F.lit(t)), lambda x, t=t: F.struct(F.lit(t).alias("tree"), x.alias("node"))) for t in range(how.trees))))
+    rows = classes.select("rep", "sig", F.explode(roots).alias("path")).select("rep", "sig", "path.*")
     edges = None
     for level in range(how.depth + 1):
         large = materialize(rows.groupBy("node").count().where(F.col("count") > how.node_limit), "large")
@@ -285,26 +300,24 @@ def candidates(classes: DataFrame, how: Join) -> DataFrame:
         if level == how.depth:
             edges = edges.union(_compared(_blocks(rows, "node", F.ceil(F.col("count") / how.node_limit)), how))
             break
-        slots = F.array(*(F.xxhash64("node", F.lit(s)) for s in range(how.branch)))
-        child = F.transform(slots, lambda h: F.xxhash64("node", h, _token(F.pmod(h, F.lit(how.coords)).cast("int"))))
-        rows = materialize(rows.select("rep", "sig", F.explode(child).alias("node")), "nodes")
+        rows = materialize(rows.select("rep", "sig", "tree", F.explode(paths(F.col("tree"), level + 1, F.col("node"))).alias("node")), "nodes")
     return edges
 
 
 def confirmed(docs: DataFrame, clusters: DataFrame, how: Join) -> DataFrame:
-    """Edges (a, b) of the links inside each cluster. docs: doc_id and text; clusters: node (the
-    doc_id of a class), component, n_shingles."""
+    """Edges (a, b) of the links inside each cluster. docs: doc_id and text; clusters: node (the key of
+    a class), component, n_shingles, rep (a doc_id that has its set), set_id."""
     total = clusters.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("size"))
     blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("size") * 8 / BLOCK_BYTES))
-    chosen = clusters.join(total, "component").select("component", F.col("node").alias("rep"), blocks.cast("int").alias("blocks"), "set_id")
+    chosen = clusters.join(total, "component").select("component", "node", "rep", blocks.cast("int").alias("blocks"), "set_id")
     chosen = materialize(chosen, "chosen")
-    texts = docs.join(_bounded(chosen), F.col("doc_id") == F.col("rep")).select("component", "rep", "blocks", "set_id", "text")
+    texts = docs.join(_bounded(chosen), F.col("doc_id") == F.col("rep")).select("component", "node", "blocks", "set_id", "text")
 
     def run(batches):
         for batch in batches:
             sets, keep = [], []
-            for i, (value, digest) in enumerate(zip(batch.column(4), batch.column(3).to_pylist())):
-                found = shingles(value.as_py() or "", how.width).tobytes()
+            for i, (found, digest) in enumerate(zip(_sets(batch.column(4), how.width), batch.column(3).to_pylist())):
+                found = found.tobytes()
                 # another row may carry the same id with another text
                 if hashlib.blake2b(found, digest_size=16).digest() == digest:
                     sets.append(found)
@@ -331,11 +344,13 @@ def near_duplicates(docs: DataFrame, how: Join = Join(), key: str = "doc_id", te
     classes = known.groupBy("set_id").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")
     )
-    classes = materialize(classes, "classes")
-    near = components(candidates(classes.select("rep", "sig"), how))
-    near = near.join(classes.select(F.col("rep").alias("node"), "set_id", "n_shingles"), "node")
-    linked = components(confirmed(docs, near, how)).withColumnRenamed("component", "least").withColumnRenamed("node", "rep")
-    found = classes.select("set_id", "rep", "copies").join(linked, "rep", "left")
+    classes = materialize(classes.withColumn("node", F.xxhash64("set_id")), "classes")
+    near = components(candidates(classes.select(F.col("node").alias("rep"), "sig"), how))
+    near = near.join(classes.select("node", "rep", "set_id", "n_shingles"), "node")
+    linked = components(confirmed(docs, near, how)).join(classes.select("node", "rep"), "node")
+    least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    linked = linked.join(least, "component").select("node", "least")
+    found = classes.select("node", "set_id", "rep", "copies").join(linked, "node", "left")
     found = found.where("copies > 1 or least is not null").select("set_id", F.coalesce("least", "rep").alias("least"))
     out = rows.select("doc_id", "n_shingles", "set_id").join(found, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
@@ -345,11 +360,19 @@ def near_duplicates(docs: DataFrame, how: Join = Join(), key: str = "doc_id", te
 
 
 def one_of_each(docs: DataFrame, how: Join = Join(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the documents that near_duplicates() does not keep; rows that repeat an id share
-    its fate, rows without an id stay."""
-    gone = near_duplicates(docs, how, key, text).where(~F.col("kept")).select(F.col(key).alias("_gone")).distinct()
-    gone = materialize(gone, "gone")
-    return docs.join(_bounded(gone), F.col(key).cast("long") == F.col("_gone"), "left_anti")
+    """docs with one row of each group of near-duplicates: the smallest id's, rows without an id after
+    all others. Rows are numbered, so that repeated ids and missing ones are told apart."""
+    row = "row"
+    while row in docs.columns:
+        row = "_" + row
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    near = near_duplicates(rows, how, row, text).where("component_id is not null").select(F.col(row).alias("_number"), "component_id")
+    near = materialize(near, "near")
+    groups = near.where(F.col("_number") != F.col("component_id")).select("component_id").distinct()
+    members = near.join(groups, "component_id").join(rows.select(F.col(row).alias("_number"), F.col(key).cast("long").alias("_id")), "_number")
+    first = members.groupBy("component_id").agg(F.min_by("_number", F.struct(F.col("_id").isNull(), "_id", "_number")).alias("_first"))
+    gone = materialize(members.join(first, "component_id").where("_number <> _first").select(F.col("_number").alias("_gone")), "gone")
+    return rows.join(_bounded(gone), F.col(row) == F.col("_gone"), "left_anti").drop(row)
 
 
 def op3_chosen_path(spark, sf_dir) -> DataFrame:

@@ -47,7 +47,7 @@ def family(draw, n, edits, size=60):
         yield " ".join(words)
 
 
-@pytest.mark.parametrize("how", [Join(), Join(3, 85, 100, node_limit=8, depth=1)])
+@pytest.mark.parametrize("how", [Join(), Join(3, 85, 100, node_limit=8, depth=1), Join(3, 85, 100, node_limit=6)])
 def test_families_against_all_pairs(spark, how, monkeypatch):
     draw = random.Random(how.node_limit)
     texts = [t for _ in range(12) for t in family(draw, 25, 6)] + list(family(draw, 90, 12)) + ["a b", "A  B", "a", "", None, "x y z"]
@@ -58,6 +58,30 @@ def test_families_against_all_pairs(spark, how, monkeypatch):
 
 def test_documents(documents):
     check(documents, Join(3, 85, 100))
+    check(documents, Join(3, 85, 100, node_limit=2))  # where nearly every node branches
+
+
+def test_repeated_ids_with_other_texts(spark):
+    draw = random.Random(2)
+    one, two = (" ".join(f"w{draw.randrange(900)}" for _ in range(60)) for _ in range(2))
+    rows = [(5, one), (5, two), (7, one + " x"), (8, two + " x"), (9, one), (9, one), (None, one), (None, two)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, row long")
+    got = sorted((r.doc_id, r.component_id) for r in near_duplicates(docs).collect() if r.doc_id is not None)
+    assert got == [(5, 5), (5, 5), (7, 5), (8, 5), (9, 5), (9, 5)]
+    left = neardup.one_of_each(docs).collect()
+    assert sorted(r.row for r in left) == [0, 1]
+    only = docs.where("doc_id is null or doc_id = 5 and row = 1")
+    assert sorted(r.row for r in neardup.one_of_each(only).collect()) == [1, 6]
+    apart = docs.where("row in (1, 2)")  # the id 5 has another text elsewhere: no link through the id
+    assert {r.component_id for r in near_duplicates(apart).collect()} == {5, 7}
+
+
+def test_the_query(spark, documents):
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    got = neardup.op3_chosen_path(spark, "/root/testdata/sf0.001").collect()
+    expected = brute(rows, 3, 85, 100)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == expected
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
