@@ -42,3 +42,22 @@ def test_frames(odd_docs, no_docs):
     assert bpe.round_trip(no_docs).count() == bpe.encode(no_docs).count() == 0
     decoded = {r.doc_id: bytes(r.bytes) for r in bpe.decode(bpe.encode(odd_docs)).collect()}
     assert decoded[6] == [r.text for r in odd_docs.collect() if r.doc_id == 6][0].encode()
+
+
+def test_the_query(spark, documents):
+    import hashlib
+
+    import public_tokenizers
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    from freshet.llm.bpe import op1_bpe_roundtrip
+
+    ranks = load_tiktoken_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    model = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = {r.doc_id: r.text or "" for r in documents.collect()}
+    for r in op1_bpe_roundtrip(spark, "/root/testdata/sf0.001").collect():
+        ids = model.encode_ordinary(texts[r.doc_id])
+        data = b"".join(i.to_bytes(4, "little") for i in ids)
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(data).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
