@@ -206,18 +206,34 @@ def _similar(how: Join):
                     out += [(rows[x][4], rows[x + d][4]) for x in hit.tolist() if rows[x][1] == rows[x][2] or rows[x][3] != rows[x + d][3]]
             for k in np.flatnonzero(wide > 16).tolist():
                 first, last = starts[k], starts[k + 1]
-                own, forest = sigs[first:last], _Forest(last - first)
-                for i in range(last - first - 1):
-                    agree = (own[i + 1 :] == own[i]).sum(axis=1)
-                    for j in (np.flatnonzero(agree >= how.least_equal) + i + 1).tolist():
-                        if forest.joined(i, j):
-                            out.append((rows[first + i][4], rows[first + j][4]))
+                own = sigs[first:last]
+                agree = ((np.flatnonzero((own[i + 1 :] == own[i]).sum(axis=1) >= how.least_equal) + i + 1) for i in range(last - first - 1))
+                out += [(rows[first + i][4], rows[first + j][4]) for i, j in _spanning(rows[first:last], agree)]
             if out:
                 yield _edges(out)
 
     return run
 
 
+def _spanning(rows: list[tuple], found: Iterator[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Edges (i, j) of a spanning forest of a run of rows (group, lo, hi, own, ...); found: for each row the later
+    ones that it meets. Where the run is two blocks, the edges inside a block come from that block's
+    own run and only those between the blocks are given: few, where the blocks are dense."""
+    block, apart = np.array([r[3] for r in rows]), rows[0][1] != rows[0][2]
+    forest, between = _Forest(len(rows)), []
+    for i, later in enumerate(found):
+        inside = block[later] == block[i]
+        for j in later[inside].tolist():
+            if forest.joined(i, j) and not apart:
+                yield i, j
+        if not inside.all():
+            between.append((i, later[~inside]))
+    for i, later in between:
+        for j in later.tolist():
+            if forest.joined(i, j):
+                yield i, j
+
+
 def _confirmed(how: Join):
     """Edges of spanning forests of the links of a cluster, from the full sets."""
 
@@ -227,20 +243,20 @@ def _confirmed(how: Join):
             for first, last in zip(starts, starts[1:]):
                 group = rows[first:last]
                 sets = [np.frombuffer(r[5], np.uint64) for r in group]
-                out += [(group[i][4], group[j][4]) for i, j in _links(sets, how)]
+                out += [(group[i][4], group[j][4]) for i, j in _spanning(group, _links(sets, how))]
             if out:
                 yield _edges(out)
 
     return run
 
 
-def _links(sets: list[np.ndarray], how: Join) -> Iterator[tuple[int, int]]:
+def _links(sets: list[np.ndarray], how: Join) -> Iterator[np.ndarray]:
+    """For each set the later ones that it links with."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     if n == 2:
         shared = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        if shared * (how.den + how.num) >= how.num * int(sizes.sum()):
-            yield 0, 1
+        yield np.ones(1, np.int64) if shared * (how.den + how.num) >= how.num * int(sizes.sum()) else np.empty(0, np.int64)
         return
     values = np.concatenate(sets) if n else np.empty(0, np.uint64)
     owner = np.repeat(np.arange(n), sizes)
@@ -249,20 +265,19 @@ def _links(sets: list[np.ndarray], how: Join) -> Iterator[tuple[int, int]]:
     run_of = np.empty(len(values), np.int64)
     run_of[order] = np.repeat(np.arange(len(begin)), often)
     posting = owner[order]
-    forest, at = _Forest(n), 0
+    at = 0
     for i in range(n):
         runs = run_of[at : at + sizes[i]]
         at += sizes[i]
         runs = runs[often[runs] > 1]
         if not len(runs):
+            yield np.empty(0, np.int64)
             continue
         lengths = often[runs]
         place = np.repeat(begin[runs] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
         shared = np.bincount(posting[place], minlength=n)
         linked = shared * (how.den + how.num) >= how.num * (sizes + sizes[i])
-        for j in np.flatnonzero(linked[i + 1 :]).tolist():
-            if forest.joined(i, i + 1 + j):
-                yield i, i + 1 + j
+        yield np.flatnonzero(linked[i + 1 :]) + i + 1
 
 
 def _bounded(rows: DataFrame) -> DataFrame:
