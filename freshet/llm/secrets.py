@@ -48,8 +48,9 @@ MASK = "[SECRET]"
 #: Elements and characters of a block.
 _BLOCK, _CUT = 128, 2048
 _SPAN = "array<struct<start:int,rank:int,end:int>>"
-#: Characters are coded from '+' on; ',' stands for both ends of a string.
-_FIRST, _WIDE, _END = 43, 80, ","
+#: Token characters and what stands for both ends of a string, coded by their place here, from code point CODED on.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-,"
+_WIDE, _END, _CODED = len(ALPHABET), ",", 0x100
 #: Lengths told apart.
 _LENGTHS = 64
 #: Ordinary words of names in code.
@@ -68,11 +69,11 @@ CODE_WORDS = (
 
 @dataclass(frozen=True)
 class Model:
-    """logs[kind][80 * a + b]: log P(b after a) in strings of a kind; lengths[kind][n]: log P(n
-    characters), the last for all longer ones; the threshold of the ratio."""
+    """logs[kind][68 * a + b]: log P(b after a) in strings of a kind; lengths[kind][n]: log P(n
+    characters), the last for all longer ones, both in hundredths; the threshold of the ratio."""
 
-    logs: dict[str, tuple[float, ...]]
-    lengths: dict[str, tuple[float, ...]]
+    logs: dict[str, tuple[int, ...]]
+    lengths: dict[str, tuple[int, ...]]
     threshold: float
 
 
@@ -161,7 +162,7 @@ def labelled_samples(spark: SparkSession, words: list[str], random_strings: int
 
 def fit(samples: DataFrame, false_rate: float = 0.002, least: float = math.log(1000)) -> Model:
     """Train a model of every kind from labelled strings (random, kind, value, held; held ones set the
-    threshold). Character pairs are counted by the cluster; at most 80 * 80 counts a kind reach the
+    threshold). Character pairs are counted by the cluster; at most 68 * 68 counts a kind reach the
     driver. Kinds without strings have a uniform model."""
     samples = samples.where("value is not null and random is not null")
     # a string's length is counted behind the pairs
@@ -175,9 +176,9 @@ def fit(samples: DataFrame, false_rate: float = 0.002, least: float = math.log(1
     logs, lengths = {}, {}
     for kind, own in counts.items():
         rows = [sum(own[a * _WIDE : (a + 1) * _WIDE]) for a in range(_WIDE)]
-        logs[kind] = tuple(round(math.log((c + 0.2) / (rows[i // _WIDE] + 0.2 * 68)), 5) for i, c in enumerate(own[: _WIDE * _WIDE]))
+        logs[kind] = tuple(round(100 * math.log((c + 0.2) / (rows[i // _WIDE] + 0.2 * _WIDE))) for i, c in enumerate(own[: _WIDE * _WIDE]))
         n = sum(own[_WIDE * _WIDE :])
-        lengths[kind] = tuple(round(math.log((c + 0.2) / (n + 0.2 * _LENGTHS)), 5) for c in own[_WIDE * _WIDE :])
+        lengths[kind] = tuple(round(100 * math.log((c + 0.2) / (n + 0.2 * _LENGTHS))) for c in own[_WIDE * _WIDE :])
     model = Model(logs, lengths, least)
     held = samples.where("held and not random and length(value) >= 16").select("kind", ratio(F.col("value"), model).alias("ratio"))
     tops = held.groupBy("kind").agg(F.percentile("ratio", F.lit(1 - false_rate)).alias("top")).collect()
@@ -186,7 +187,8 @@ def fit(samples: DataFrame, false_rate: float = 0.002, least: float = math.log(1
 
 def _pairs(value: Column) -> Column:
     """Codes of a string's neighbouring characters, its ends included."""
-    coded = F.transform(F.split(F.concat(F.lit(_END), value, F.lit(_END)), ""), lambda c: F.ascii(c) - _FIRST)
+    codes = "".join(map(chr, range(_CODED, _CODED + _WIDE)))
+    coded = F.transform(F.split(F.translate(F.concat(F.lit(_END), value, F.lit(_END)), ALPHABET, codes), ""), lambda c: F.ascii(c) - _CODED)
     return _let(coded, lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c)), lambda a, b: a * _WIDE + b))
 
 
@@ -195,17 +197,17 @@ def ratio(value: Column, model: Model) -> Column:
     ordinary one's."""
 
     def numbers(values):
-        return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
 
     def total(kind):
         known, sizes = numbers(model.logs[kind]), numbers(model.lengths[kind])
         # as many pairs as characters, and one
         size = lambda pairs: F.get(sizes, F.least(F.size(pairs) - 1, F.lit(_LENGTHS - 1)))
-        return lambda pairs: F.aggregate(pairs, size(pairs), lambda t, x: t + F.coalesce(F.get(known, x), F.lit(0.0)))
+        return lambda pairs: F.aggregate(pairs, size(pairs).cast("long"), lambda t, x: t + F.coalesce(F.get(known, x), F.lit(0)))
 
     sums = [(kind, total(kind)) for kind in RANDOM + ORDINARY]
     both = lambda p: F.greatest(*(t(p) for k, t in sums if k in RANDOM)) - F.greatest(*(t(p) for k, t in sums if k in ORDINARY))
-    return _let(_pairs(value), both)
+    return _let(_pairs(value), both) / 100.0
 
 
 def _running(values: Column, plus: Callable[[Column, Column], Column]) -> Column:
@@ -291,49 +293,53 @@ def _masked(text: Column, spans: Column, mask: Callable[[Column], Column]) -> Co
     return _let(blocks, lambda b: _let(gaps(spans, F.length(text)), lambda g: joined(b, g)))
 
 
-def _scanned(text: Column, model: Model) -> Column:
-    """(base, added) of one text."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
+def _spare(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name in df.columns:
+        name = "_" + name
+    return name
 
-    def base(value):
-        kinds = []
-        for rank, (_, pattern, group, least) in enumerate(KINDS):
-            if group:
-                passes = lambda m, p=pattern, g=group, n=least: F.length(F.regexp_extract(m, p, g)) >= n
-            else:
-                passes = lambda m, n=least: F.length(m) >= n
-            kinds.append(_found(value, pattern, rank, passes))
-        return F.array_sort(F.concat(*kinds))
+
+def _fixed(text: Column) -> Column:
+    """Spans of the fixed patterns."""
+    kinds = []
+    for rank, (_, pattern, group, least) in enumerate(KINDS):
+        if group:
+            passes = lambda m, p=pattern, g=group, n=least: F.length(F.regexp_extract(m, p, g)) >= n
+        else:
+            passes = lambda m, n=least: F.length(m) >= n
+        kinds.append(_found(text, pattern, rank, passes))
+    return F.array_sort(F.concat(*kinds))
+
+
+def _scanned(docs: DataFrame, model: Model, text: str, base: str, added: str) -> DataFrame:
+    """docs with two more columns. Each step is a column of its own that the next ones use more than
+    once, so none is computed again."""
+    whole, left = _spare(docs, "whole"), _spare(docs, "left")
+    out = docs.withColumn(whole, F.coalesce(F.col(text).cast("string"), F.lit("")))
+    out = out.withColumn(base, _fixed(F.col(whole)))
+    gaps = _masked(F.translate(F.col(whole), GAP, OTHER), F.col(base), lambda n: F.repeat(F.lit(GAP), n))
+    out = out.withColumn(left, F.when(F.size(base) > 0, gaps).otherwise(F.col(whole)))
 
     def secret(value):
         return F.when(value.rlike("[A-Za-z]"), ratio(value, model) > model.threshold).otherwise(False)
 
-    def both(value, fixed):
-        open_ = F.when(F.size(fixed) > 0, _masked(F.translate(value, GAP, OTHER), fixed, lambda n: F.repeat(F.lit(GAP), n))).otherwise(value)
-        added = _let(open_, lambda o: _found(o, RUN, len(KINDS), secret))
-        return F.struct(fixed.alias("base"), added.alias("added"))
-
-    return _let(text, lambda value: _let(base(value), lambda fixed: both(value, fixed)))
+    return out.withColumn(added, _found(F.col(left), RUN, len(KINDS), secret)).drop(whole, left)
 
 
 def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with base and added (which replace columns so named): arrays of (start, rank, end), by
     start and then kind; ranks follow KINDS, and the models' spans have the rank after the last."""
-    out = docs.withColumn("base", _scanned(F.col(text), model))
-    return out.withColumn("added", F.col("base.added")).withColumn("base", F.col("base.base"))
+    return _scanned(docs.drop(*({"base", "added"} - {text})), model, text, "base", "added")
 
 
 def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with every span replaced by MASK; spans that overlap or touch are replaced as one."""
+    base, added, spans = (_spare(docs, name) for name in ("base", "added", "spans"))
+    out = _scanned(docs, model, text, base, added).withColumn(spans, F.array_sort(F.concat(base, added)))
     own = F.col(text).cast("string")
-    changed = _let(
-        _scanned(own, model),
-        lambda x: _let(
-            F.array_sort(F.concat(x["base"], x["added"])),
-            lambda spans: F.when(F.size(spans) > 0, _masked(own, spans, lambda n: F.lit(MASK))).otherwise(own),
-        ),
-    )
-    return docs.withColumn(text, changed)
+    changed = F.when(F.size(spans) > 0, _masked(own, F.col(spans), lambda n: F.lit(MASK))).otherwise(own)
+    return out.withColumn(text, changed).drop(base, added, spans)
 
 
 def default_model(docs: DataFrame) -> Model:

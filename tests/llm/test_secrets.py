@@ -107,9 +107,9 @@ def plain_ratio(value, model):
     for kind, logs in model.logs.items():
         total = model.lengths[kind][min(len(value), 63)]
         for a, b in zip(chars, chars[1:]):
-            total += logs[80 * (ord(a) - 43) + ord(b) - 43]
+            total += logs[68 * secrets.ALPHABET.index(a) + secrets.ALPHABET.index(b)]
         best.setdefault(kind in secrets.RANDOM, []).append(total)
-    return max(best[True]) - max(best[False])
+    return (max(best[True]) - max(best[False])) / 100
 
 
 def test_held_out_rates_and_ratios(spark, documents):
