@@ -188,9 +188,17 @@ def nearest_vote(known: DataFrame, asked: DataFrame, k: int = 5, max_known: int
 
 
 def z_scores(rows: DataFrame, columns: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
-    """Columns as standard scores (sample deviation) over each group."""
-    w = Window.partitionBy(*keys)
-    return rows.select(*((div(F.col(c) - F.avg(c).over(w), F.stddev_samp(c).over(w))).alias(c) if c in columns else F.col(c) for c in rows.columns))
+    """Columns as standard scores (sample deviation) over each group, or over all rows: their mean and
+    deviation are one row then, which every task gets."""
+    stats = [f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))]
+    if keys:
+        known = rows.groupBy(*keys).agg(*stats)
+        same = rows.alias("_r").join(known.alias("_k"), [F.col(f"_r.{k}").eqNullSafe(F.col(f"_k.{k}")) for k in keys])
+    else:
+        one = rows.agg(*stats).select(F.lit(1).alias("_one"), "*")
+        same = rows.alias("_r").withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one")
+    own = {c: F.col(f"_r.{c}") if keys else F.col(c) for c in rows.columns}
+    return same.select(*((div(x - F.col(f"_m_{c}"), F.col(f"_s_{c}")) if c in columns else x).alias(c) for c, x in own.items()))
 
 
 def argmax_column(rows: DataFrame, columns: list[str], name: str = "best") -> DataFrame:

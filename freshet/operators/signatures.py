@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.functions.expr import by, cv, div, hydro_day, hydro_year, ln, over_positive, quantile, sample_kurtosis, sample_skew, season
+from freshet.functions.kernels import lyne_hollick
 
 KEY, TIME, Q = "gauge_id", "date", "q"
 SEASONS = ["winter", "spring", "summer", "autumn"]
@@ -385,9 +387,28 @@ def comprehensive(series: DataFrame, baseflow: DataFrame | None = None) -> DataF
     return joined(*(p.select(KEY, *(F.col(c).alias(f"{name}_{c}") for c in p.columns if c != KEY)) for name, p in parts.items()))
 
 
-def period_metrics(series: DataFrame, period: Column | None = None, min_fraction: float = 0.7) -> DataFrame:
+def baseflow_index(series: DataFrame, keys: tuple[str, ...] = (KEY,), alpha: float | None = None, ensemble: int = 1000, passes: int = 3, reflect: int = 30) -> DataFrame:
+    """(keys, baseflow_index): share of the Lyne-Hollick baseflow, for each group of rows (keys, date, q):
+    of one alpha, or the mean over an even grid of `ensemble` alphas from 0.9 to 0.98. The filter is a
+    recursion over the days, so a group is one batch of a kernel."""
+    kinds = {f.name: f.dataType.simpleString() for f in series.schema.fields}
+    alphas = np.array([alpha]) if alpha is not None else 0.9 + 0.08 * (np.arange(ensemble) + 0.5) / ensemble
+
+    def run(frame):
+        q = frame.sort_values(TIME)[Q].to_numpy(float)
+        found = frame[list(keys)].head(1).copy()
+        parts = [lyne_hollick(q, part, passes, reflect)[0] for part in np.array_split(alphas, max(1, len(alphas) // 100))] if len(q) > 1 else []
+        found["baseflow_index"] = float(np.concatenate(parts).mean()) if parts else None
+        return found
+
+    rows = series.select(*keys, TIME, Q).where(F.col(Q).isNotNull())
+    return rows.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", baseflow_index double")
+
+
+def period_metrics(series: DataFrame, period: Column | None = None, min_fraction: float = 0.7, baseflow: bool = True) -> DataFrame:
     """Signatures of every hydrological year (or of the periods given): (gauge_id, period, ...). A
-    period with less than min_fraction of its rows present has null metrics. Feed rows with nulls."""
+    period with less than min_fraction of its rows present has null metrics. Feed rows with nulls.
+    baseflow: the baseflow index too, the one metric that is a kernel."""
     rows = series.select(F.col(KEY).alias("_g"), TIME, Q, (hydro_year(TIME) if period is None else period).alias("period"))
     own = F.struct("_g", "period")
     shares = rows.groupBy("_g", "period").agg((F.count(Q) / F.count("*")).alias("_share"))
@@ -400,7 +421,8 @@ def period_metrics(series: DataFrame, period: Column | None = None, min_fraction
     high = high_flows(inner).select(KEY, "high_flow_frequency", "high_flow_avg_duration")
     low = low_flows(inner).select(KEY, "low_flow_frequency", "low_flow_avg_duration")
     half = half_flow_date(inner).select(KEY, F.col("hfd_mean").alias("mean_half_flow_date"))
-    table = joined(total, high, low, half)
+    parts = [total, high, low, half] + ([baseflow_index(inner, (KEY,))] if baseflow else [])
+    table = joined(*parts)
     names = table.columns[1:]
     keyed = shares.withColumn(KEY, F.to_json(own)).join(table, KEY, "left")
     enough = F.col("_share") >= min_fraction

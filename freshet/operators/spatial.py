@@ -7,6 +7,7 @@ projected coordinates; a point's hexagon is a closed formula, so a spatial join
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -178,15 +179,21 @@ def snapped(x: Column | str, step: float, up: bool = False) -> Column:
 def merged_regions(hexes: DataFrame, target: int, least: int = 5, rounds: int = 50) -> DataFrame:
     """(q, r, label, merged): labels of fewer than `least` hexagons (or else half of what is above the
     target, the smallest) take their neighbours' most frequent label, round by round, until `target`
-    remain; then renamed C1, C2, ... by size. All hexagons of a round change at once. Labels are few:
-    their counts are what the driver sees."""
-    links = neighbours(hexes.select("q", "r")).cache()
+    remain; then renamed C1, C2, ... by size. A round changes no more labels than are above the target,
+    the smallest first, all their hexagons at once. Labels are few: their counts are what the driver sees."""
+    links = neighbours(hexes.select("q", "r"))
+    spark = hexes.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="freshet-"))
     rows = hexes.select("q", "r", F.col("label").cast("string").alias("label"), F.col("label").cast("string").alias("now"))
     for _ in range(rounds):
         sizes = sorted(((r["count"], r["now"]) for r in rows.groupBy("now").count().collect()))
         if len(sizes) <= target:
             break
         small = [x for n, x in sizes if n < least] or [x for _, x in sizes[: max(1, (len(sizes) - target) // 2)]]
+        small = small[: len(sizes) - target]
         around = rows.where(F.col("now").isin(small)).join(links, ["q", "r"]).join(
             rows.select(F.col("q").alias("nq"), F.col("r").alias("nr"), F.col("now").alias("_n")), ["nq", "nr"]
         ).where("_n <> now")

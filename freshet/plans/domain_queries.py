@@ -94,7 +94,7 @@ def _simulated(model, params):
 def _forest(spark, d):
     rows = features.rolling(_forcing(spark, d), {"prcp": "sum", "t_mean": "mean"}, (1, 2, 4, 8))
     names = [x for x in rows.columns if x.endswith("d") and "_" in x and x != "gauge_id"]
-    model = models.forest(rows, names, trees=10, depth=6)
+    model = models.forest(rows, names)
     return rounded(models.predicted(model, rows, names).select("gauge_id", "date", "q", "q_sim"))
 
 
@@ -121,7 +121,7 @@ QUERIES = {
     "clus_calinski_harabasz": lambda s, d: rounded(c.calinski_harabasz(_vectors(s, d), "vec_id")),
     "clus_davies_bouldin": lambda s, d: rounded(c.davies_bouldin(_vectors(s, d), "vec_id")),
     "clus_ward": lambda s, d: c.ward(_vectors(s, d), 10, "vec_id"),
-    "clus_principal": lambda s, d: c.principal(_vectors(s, d), 2, "vec_id").select("vec_id", F.size("components").alias("n")),
+    "clus_principal": lambda s, d: rounded(c.principal(_vectors(s, d), 2, "vec_id").select("vec_id", F.get("components", F.lit(0)).alias("first"), F.get("components", F.lit(1)).alias("second"))),
     "clus_regimes": lambda s, d: rounded(c.regimes(_patterns(s, d))),
     "clus_smoothed_regimes": lambda s, d: rounded(c.regimes(c.unit_patterns(c.smoothed(_patterns(s, d))))),
     "clus_hybrid_classes": lambda s, d: c.hybrid_classes(_gauges(s, d)),
@@ -131,7 +131,7 @@ QUERIES = {
     "model_select_topsis": _select("topsis"),
     "model_select_compromise": _select("compromise"),
     "model_baseflow": lambda s, d: rounded(models.baseflow(flow(s, d), 0.925)),
-    "model_baseflow_stats": lambda s, d: rounded(models.baseflow_stats(flow(s, d), ensemble=200)),
+    "model_baseflow_stats": lambda s, d: rounded(models.baseflow_stats(flow(s, d))),
     "model_gr4j": _simulated("gr4j", [350.0, -0.5, 90.0, 1.7]),
     "model_gr4j_snow": _simulated("gr4j", [350.0, -0.5, 90.0, 1.7, 0.5, 4.0, 0.0]),
     "model_hbv": _simulated("hbv", [2.0, 0.1, 250.0, 0.2, 0.15, 0.05, 0.7, 3.0, 1.5, 120.0, 1.0, 0.0, 5.0, 0.7, 0.05, 0.1]),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from freshet.functions.expr import rounded
+from freshet.operators import models
 from freshet.operators import signatures as s
 from freshet.plans.panels import FLAG_FLOW, FLOW, HYDRO_YEAR, RAIN, SEASON, cv, flag_flow, flow, num, positive, rain, slope
 
@@ -44,9 +45,11 @@ QUERIES = {
     "sig_extreme_metrics": on(s.extreme_metrics, flag_flow),
     "sig_timing_metrics": on(s.timing_metrics, flag_flow),
     "sig_variability_metrics": on(s.variability_metrics),
-    "sig_comprehensive": on(s.comprehensive, flag_flow),
-    "sig_period_metrics": on(s.period_metrics),
-    "sig_period_aggregate": lambda spark, d: rounded(s.aggregated_periods(s.period_metrics(flow(spark, d)))),
+    "sig_comprehensive": lambda spark, d: rounded(s.comprehensive(flag_flow(spark, d), models.baseflow_stats(flag_flow(spark, d)))),
+    "sig_period_metrics": on(lambda x: s.period_metrics(x, baseflow=False)),
+    "sig_period_metrics_with_baseflow": on(s.period_metrics),
+    "sig_period_aggregate": lambda spark, d: rounded(s.aggregated_periods(s.period_metrics(flow(spark, d), baseflow=False))),
+    "sig_baseflow_index": on(s.baseflow_index),
     "sig_runoff_ratio": lambda spark, d: rounded(s.runoff_ratio(flag_flow(spark, d), rain(spark, d))),
 }
 

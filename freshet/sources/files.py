@@ -30,10 +30,16 @@ def classified(rows: DataFrame, value: str = "q_mm_day") -> DataFrame:
 
 
 def read_attributes(spark: SparkSession, path: str, gauges: DataFrame | None = None) -> DataFrame:
-    """A table of attributes by gauge_id, which stays text; only the given gauges, if any."""
+    """A table of attributes by gauge_id, which stays text; only the given gauges, if any. A given gauge
+    without attributes is an error, which names some."""
     rows = spark.read.option("header", True).option("inferSchema", False).csv(path)
     rows = rows.select("gauge_id", *(F.col(c).try_cast("double").alias(c) for c in rows.columns if c != "gauge_id"))
-    return rows.join(gauges.select("gauge_id"), "gauge_id", "left_semi") if gauges is not None else rows
+    if gauges is None:
+        return rows
+    missing = [r[0] for r in gauges.select("gauge_id").distinct().join(rows, "gauge_id", "left_anti").limit(5).collect()]
+    if missing:
+        raise KeyError(f"no attributes of gauges {', '.join(map(str, missing))}")
+    return rows.join(gauges.select("gauge_id"), "gauge_id", "left_semi")
 
 
 def read_metrics(spark: SparkSession, path: str, names: list[str]) -> DataFrame:

@@ -22,21 +22,39 @@ def daily_means(readings: DataFrame, lateness: str = "2 days") -> DataFrame:
     return days.select("gauge_id", F.to_date("_w.start").alias("date"), "level", "n")
 
 
-def merge_history(spark: SparkSession, batch: DataFrame, path: str, keys: tuple[str, ...] = ("gauge_id", "date")) -> None:
-    """Merge a batch into the Parquet history at path: a value that is there stays. The new history is
-    written beside the old and a pointer file names the current one, so a failed write loses nothing."""
-    old, number = read_history(spark, path), current(spark, path)
+def merge_history(spark: SparkSession, batch: DataFrame, path: str, keys: tuple[str, ...] = ("gauge_id", "date"), kept: int = 2) -> None:
+    """Merge a batch into the Parquet history at path: a value that is there stays. Every merge writes a
+    version of its own and never touches another; the highest one that is complete is the history, so
+    a merge that breaks off at any point loses nothing. Only the newest `kept` versions stay, the older
+    ones for readers that have begun."""
+    number = current(spark, path)
+    old = spark.read.parquet(f"{path}/v{number}") if number else None
     merged = batch if old is None else upsert(old, batch.select(*old.columns), list(keys), "old")
     merged.write.mode("overwrite").parquet(f"{path}/v{number + 1}")
-    spark.createDataFrame([(number + 1,)], "version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
+    for done in versions(spark, path):
+        if done <= number + 1 - kept:
+            where, system = _path(spark, f"{path}/v{done}")
+            system.delete(where, True)
+
+
+def _path(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Complete versions of the history at path: those with the mark that a write leaves last."""
+    where, system = _path(spark, path)
+    if not system.exists(where):
+        return []
+    names = [x.getPath().getName() for x in system.listStatus(where)]
+    found = [int(x[1:]) for x in names if x[:1] == "v" and x[1:].isdigit()]
+    return sorted(n for n in found if system.exists(_path(spark, f"{path}/v{n}/_SUCCESS")[0]))
 
 
 def current(spark: SparkSession, path: str) -> int:
     """Version of the history at path; 0: none yet."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/current/_SUCCESS")
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        return 0
-    return spark.read.parquet(f"{path}/current").first()["version"]
+    return max(versions(spark, path), default=0)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame | None:
