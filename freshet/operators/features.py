@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,18 +174,24 @@ def nearest_cell(points: DataFrame, step: float, lon0: float = 0.0, lat0: float
     return points.select("*", near("lon", lon0).alias("cell_x"), near("lat", lat0).alias("cell_y"))
 
 
-def nearest_vote(known: DataFrame, asked: DataFrame, k: int = 5, max_known: int = 100_000) -> DataFrame:
+def nearest_vote(known: DataFrame, asked: DataFrame, k: int = 5, block: int = 100_000) -> DataFrame:
     """(id, label): most frequent label (the smallest of equals) among the k known points (id, x, y,
-    label) nearest to each asked point (id, x, y). The known points are broadcast and must be at most
-    max_known; beyond that tile both sides first."""
-    if known.count() > max_known:
-        raise ValueError("too many known points to broadcast: tile both sides")
+    label) nearest to each asked point (id, x, y). The known points go to every task in blocks of about
+    `block` rows; each block leaves its k nearest, and these meet."""
     a = asked.select("id", "x", "y")
-    b = F.broadcast(known.select(F.col("id").alias("_id"), F.col("x").alias("_x"), F.col("y").alias("_y"), "label"))
-    pairs = a.join(b, F.col("id") != F.col("_id"))
+    others = known.select(F.col("id").alias("_id"), F.col("x").alias("_x"), F.col("y").alias("_y"), "label")
     far = F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2)
-    row = F.row_number().over(Window.partitionBy("id").orderBy(far, "_id"))
-    best = pairs.select("id", "label", row.alias("_k")).where(F.col("_k") <= k)
+    blocks = max(1, -(-known.count() // block))
+
+    def nearest(rows: DataFrame) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("id").orderBy("_far", "_id"))
+        return rows.withColumn("_k", place).where(F.col("_k") <= k).drop("_k")
+
+    parts = []
+    for i in range(blocks):
+        own = others.where(F.pmod(F.xxhash64("_id"), F.lit(blocks)) == i) if blocks > 1 else others
+        parts.append(nearest(a.join(F.broadcast(own), F.col("id") != F.col("_id")).select("id", "_id", "label", far.alias("_far"))))
+    best = parts[0] if blocks == 1 else nearest(reduce(DataFrame.union, parts))
     return best.groupBy("id").agg(F.mode("label", True).alias("label"))
 
 

@@ -7,6 +7,8 @@ sets in one pass over the days, keeps the best, and narrows the design around it
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from freshet.functions import kernels
 from freshet.functions.expr import div
+from freshet.sources import files
 from freshet.operators.signatures import KEY, Q, TIME, present
 
 _BASEFLOW = "gauge_id string, date date, q double, baseflow double, bfi double"
@@ -141,6 +144,57 @@ def best_trials(trials: DataFrame, objective: str = "KGE", keys: tuple[str, ...]
     return trials.groupBy(*keys).agg(first.alias("_b")).select("_b.*")
 
 
+def fitted(forcing: DataFrame, split: str, path: str, model: str = "gr4j", warmup_years: int = 2, **how) -> DataFrame:
+    """Calibrate on the days before split, validate on the rest, save both: (gauge_id, params, KGE, NSE,
+    logNSE, neg_PBIAS) of the validation, whose simulation begins warmup_years earlier and is scored
+    from split on. Writes <path>/params and <path>/metrics as JSON, the first for predict()."""
+    early = F.col(TIME) < F.lit(split).cast("date")
+    best = best_trials(calibrate(forcing.where(early), model, **how)).select(KEY, "params")
+    files.write(best, f"{path}/params", "json")
+    sim = predict(warmup_slice(forcing, split, warmup_years), path, model).where(~early)
+    files.write(validated(sim), f"{path}/metrics", "json")
+    spark = forcing.sparkSession
+    metrics = spark.read.schema(f"{KEY} string, " + ", ".join(f"{m} double" for m in METRICS)).json(f"{path}/metrics")
+    return saved_params(spark, path).join(metrics, KEY)
+
+
+def saved_params(spark, path: str) -> DataFrame:
+    """(gauge_id, params) that fitted() wrote."""
+    return spark.read.schema(f"{KEY} string, params array<double>").json(f"{path}/params")
+
+
+def predict(forcing: DataFrame, path: str, model: str = "gr4j", start: str | None = None, warmup_years: int = 2) -> DataFrame:
+    """(gauge_id, date, q_obs, q_sim) with the parameters saved at path; start: simulate from
+    warmup_years before it on, and return what follows it."""
+    rows = forcing if start is None else warmup_slice(forcing, start, warmup_years)
+    sim = simulate(rows, saved_params(forcing.sparkSession, path), model)
+    return sim if start is None else sim.where(F.col(TIME) >= F.lit(start).cast("date"))
+
+
+#: Scores of a simulation.
+METRICS = ("KGE", "NSE", "logNSE", "neg_PBIAS")
+
+
+def validated(sim: DataFrame) -> DataFrame:
+    """(gauge_id, KGE, NSE, logNSE, neg_PBIAS) of q_sim against q_obs: the scores of the calibration."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        found = scores(frame["q_obs"].to_numpy(float), frame["q_sim"].to_numpy(float)[:, None])
+        return pd.DataFrame({KEY: [frame[KEY].iloc[0]], **{m: found[m] for m in METRICS}})
+
+    return sim.groupBy(KEY).applyInPandas(run, f"{KEY} string, " + ", ".join(f"{m} double" for m in METRICS))
+
+
+def leave_one_basin_out(features: DataFrame, columns: list[str], basins: list[str], target: str = "q", **how) -> DataFrame:
+    """(gauge_id, date, q, q_sim) of every basin of basins, predicted by a forest of all other gauges: one
+    forest a basin, so basins are a list that the caller bounds."""
+    parts = []
+    for basin in basins:
+        model = forest(features.where(F.col(KEY) != basin), columns, target, **how)
+        parts.append(predicted(model, features.where(F.col(KEY) == basin), columns).select(KEY, TIME, target, "q_sim"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def pareto_front(trials: DataFrame, objectives: list[str], keys: list[str]) -> DataFrame:
     """Trials that no other of their group dominates: as good in every objective and better in one."""
     names = {o: f"_o_{o}" for o in objectives}

@@ -319,3 +319,47 @@ def piecewise_trends(series: DataFrame, breaks: list[int]) -> DataFrame:
     fit = linear_trend(rows)
     cut = F.split(F.reverse(KEY), r"\|", 2)
     return fit.select(F.reverse(F.get(cut, F.lit(1))).alias(KEY), F.reverse(F.get(cut, F.lit(0))).cast("int").alias("segment"), *fit.columns[1:])
+
+
+def detected_breaks(series: DataFrame, most: int = 3, apart: int = 2) -> DataFrame:
+    """(gauge_id, breaks): years in which the centred rolling variance (of a tenth of the rows, five at
+    least) changes by more than nine tenths of its changes; years within `apart` of either end are
+    left out, and only the first `most` stay."""
+
+    def run(frame):
+        frame = frame.sort_values(TIME)
+        window = max(5, len(frame) // 10)
+        change = frame[Q].rolling(window, center=True).var().diff().abs()
+        years = pd.to_datetime(frame[TIME]).dt.year
+        found = sorted(set(years[change > change.quantile(0.9)]))
+        kept = [int(y) for y in found if years.iloc[0] + apart < y < years.iloc[-1] - apart]
+        return pd.DataFrame({KEY: [frame[KEY].iloc[0]], "breaks": [kept[:most]]})
+
+    return present(series).groupBy(KEY).applyInPandas(run, f"{KEY} string, breaks array<int>")
+
+
+def broken_trends(series: DataFrame, breaks: DataFrame) -> DataFrame:
+    """linear_trend of every segment between a gauge's own breaks (gauge_id, breaks), detected_breaks()
+    for one; a break year belongs to both sides."""
+    rows = present(series).join(breaks, KEY).withColumn("_y", F.year(TIME))
+    before = F.size(F.filter("breaks", lambda b: b < F.col("_y")))
+    twice = F.array_contains("breaks", F.col("_y"))
+    rows = rows.withColumn("_s", F.explode(F.when(twice, F.array(before, before + 1)).otherwise(F.array(before))))
+    fit = linear_trend(rows.select(F.concat_ws("|", KEY, F.col("_s").cast("string")).alias(KEY), TIME, Q))
+    cut = F.split(F.reverse(KEY), r"\|", 2)
+    return fit.select(F.reverse(F.get(cut, F.lit(1))).alias(KEY), F.reverse(F.get(cut, F.lit(0))).cast("int").alias("segment"), *fit.columns[1:])
+
+
+def with_rank_p(rows: DataFrame, rho: str = "rho", n: str = "n") -> DataFrame:
+    """Rank correlations with p_value, two-sided, from the t distribution."""
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for r, k in zip(f[rho].to_numpy(float, na_value=np.nan), f[n]):
+                known = not np.isnan(r) and k > 2
+                out.append((0.0 if abs(r) >= 1 else t_two_sided(r * np.sqrt((k - 2) / (1 - r * r)), k - 2)) if known else None)
+            f["p_value"] = out
+            yield f
+
+    return rows.mapInPandas(run, rows.schema.simpleString()[7:-1].replace(":", " ") + ", p_value double")

@@ -98,6 +98,12 @@ def _forest(spark, d):
     return rounded(models.predicted(model, rows, names).select("gauge_id", "date", "q", "q_sim"))
 
 
+def _without(spark, d):
+    rows = features.rolling(_forcing(spark, d), {"prcp": "sum", "t_mean": "mean"}, (1, 4))
+    names = [x for x in rows.columns if x.endswith("d") and "_" in x and x != "gauge_id"]
+    return rounded(models.leave_one_basin_out(rows, names, ["A", "N"], trees=20, depth=6))
+
+
 def _readings(spark, d):
     return read(spark, d, "events").select(F.col("user_id").cast("string").alias("gauge_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("level"))
 
@@ -122,6 +128,7 @@ QUERIES = {
     "clus_davies_bouldin": lambda s, d: rounded(c.davies_bouldin(_vectors(s, d), "vec_id")),
     "clus_ward": lambda s, d: c.ward(_vectors(s, d), 10, "vec_id"),
     "clus_principal": lambda s, d: rounded(c.principal(_vectors(s, d), 2, "vec_id").select("vec_id", F.get("components", F.lit(0)).alias("first"), F.get("components", F.lit(1)).alias("second"))),
+    "clus_kmeans_scan": lambda s, d: rounded(c.kmeans_scan(_vectors(s, d), range(3, 6), "vec_id")),
     "clus_regimes": lambda s, d: rounded(c.regimes(_patterns(s, d))),
     "clus_smoothed_regimes": lambda s, d: rounded(c.regimes(c.unit_patterns(c.smoothed(_patterns(s, d))))),
     "clus_hybrid_classes": lambda s, d: c.hybrid_classes(_gauges(s, d)),
@@ -137,6 +144,7 @@ QUERIES = {
     "model_hbv": _simulated("hbv", [2.0, 0.1, 250.0, 0.2, 0.15, 0.05, 0.7, 3.0, 1.5, 120.0, 1.0, 0.0, 5.0, 0.7, 0.05, 0.1]),
     "model_calibrate": lambda s, d: rounded(models.best_trials(models.calibrate(_forcing(s, d), sets=40, rounds=8))),
     "model_forest": _forest,
+    "model_forest_without_basin": _without,
     "stream_daily_means": lambda s, d: rounded(daily_means(_readings(s, d))),
 }
 

@@ -64,6 +64,7 @@ QUERIES = {
     "stat_ljung_box_p": tested(lambda s: statistics.chi_square_p(statistics.ljung_box(s))),
     "stat_homogeneity": tested(statistics.homogeneity),
     "stat_variance_changes": tested(statistics.variance_changes),
+    "stat_broken_trends": lambda s, d: rounded(statistics.broken_trends(flow(s, d), statistics.detected_breaks(flow(s, d)))),
     "stat_change_points": tested(statistics.change_points, flag_flow),
 }
 

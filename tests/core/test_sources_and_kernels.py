@@ -140,3 +140,55 @@ def test_areas_extents_and_warm_up(spark):
     rows = spark.createDataFrame([(datetime.date(2000 + y, 6, 1),) for y in range(10)], "date date")
     assert models.warmup_slice(rows, "2005-01-01", 2).count() == 7
     assert reports.extremes(spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", None)], "gauge_id string, x double"), "x", 5, "gauge_id").count() == 2
+
+
+def test_calibrate_validate_predict(spark, tmp_path):
+    from freshet.plans import domain_queries
+
+    forcing = domain_queries._forcing(spark, SF).where("gauge_id <> 'R'")
+    path = str(tmp_path / "run")
+    found = {r.gauge_id: r for r in models.fitted(forcing, "1996-01-01", path, sets=20, rounds=3).collect()}
+    assert set(found) == {"A", "N"}
+    sim = models.predict(forcing, path, start="1996-01-01", warmup_years=2).toPandas()
+    assert str(sim["date"].min()) >= "1996-01-01"
+    for gauge, rows in sim.groupby("gauge_id"):
+        again = models.scores(rows["q_obs"].to_numpy(float), rows["q_sim"].to_numpy(float)[:, None])
+        assert found[gauge].KGE == pytest.approx(again["KGE"][0]) and found[gauge].NSE == pytest.approx(again["NSE"][0])
+        assert len(found[gauge].params) == 7
+
+
+def test_kmeans_and_blocks_of_silhouettes(spark):
+    draw = np.random.default_rng(3)
+    x = np.concatenate([draw.normal(c, 0.2, (30, 3)) for c in (0, 4, 9)])
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, x array<double>")
+    labels = clusters.kmeans(points, 3, "vec_id")
+    assert [r.n for r in labels.groupBy("label").agg(F.count("*").alias("n")).orderBy("label").collect()] == [30, 30, 30]
+    one, many = ({r.vec_id: r.silhouette for r in clusters.silhouettes(labels, "vec_id", block=b).collect()} for b in (20_000, 17))
+    assert one.keys() == many.keys() and all(abs(one[k] - many[k]) < 1e-9 for k in one)
+    scan = {r.k: r.mean for r in clusters.kmeans_scan(points, range(2, 5), "vec_id").collect()}
+    assert max(scan, key=scan.get) == 3
+    places = spark.createDataFrame([(0, 1.0, 2.0), (1, None, 2.0)], "vec_id long, lat double, lon double")
+    assert [r.x[3:] for r in clusters.located_patterns(points, places, "x", "vec_id").collect()] == [[1.0, 2.0]]
+
+
+def test_breaks_and_rank_p(spark):
+    import pandas as pd
+
+    from freshet.operators import statistics
+
+    day, draw = datetime.date(2000, 1, 1), np.random.default_rng(6)
+    x = np.concatenate((draw.normal(5, 0.1, 1500), draw.normal(5, 3, 1500)))
+    df = spark.createDataFrame([("a|b", day + datetime.timedelta(i), float(v)) for i, v in enumerate(x)], "gauge_id string, date date, q double")
+    frame = pd.Series(x, pd.date_range(day, periods=len(x)))
+    change = frame.rolling(300, center=True).var().diff().abs()
+    years = sorted({t.year for t in change[change > change.quantile(0.9)].index})
+    breaks = statistics.detected_breaks(df)
+    expected = [y for y in years if 2002 < y < 2006][:3]
+    assert breaks.first().breaks == expected and expected
+    fits = {r.segment: r for r in statistics.broken_trends(df, breaks).collect()}
+    assert set(fits) == set(range(len(expected) + 1)) and {r.gauge_id for r in fits.values()} == {"a|b"}
+    p = statistics.with_rank_p(spark.createDataFrame([(0.5, 20), (1.0, 9), (None, 4)], "rho double, n long")).collect()
+    t = 0.5 * math.sqrt(18 / 0.75)
+    grid = np.linspace(t, 400, 2_000_001)
+    density = math.gamma(9.5) / (math.sqrt(18 * math.pi) * math.gamma(9)) * (1 + grid**2 / 18) ** -9.5
+    assert p[0].p_value == pytest.approx(2 * np.trapezoid(density, grid), abs=1e-6) and p[1].p_value == 0.0 and p[2].p_value is None
