@@ -291,8 +291,22 @@ def _compared(rows: DataFrame, how: Join) -> DataFrame:
 
 
 def candidates(classes: DataFrame, how: Join) -> DataFrame:
-    """Edges (a, b) between classes (rep, sig) that meet in a node and look similar. Only large nodes
-    are listed apart: each has over node_limit classes, so there are few of them."""
+    """(node, component): the classes (rep, sig) in groups connected by pairs that meet in a node and look
+    similar. The first tree goes alone. A later tree need not look at nodes whose classes one group of
+    the first tree holds already: confirmation compares all of a group anyway, so a dense group is
+    listed in one tree, not in all."""
+    known = components(_met(classes.select("rep", "sig", F.col("rep").alias("group")), how, range(1)))
+    if how.trees == 1:
+        return known
+    grouped = classes.join(known, F.col("rep") == F.col("node"), "left").select("rep", "sig", F.coalesce("component", "rep").alias("group"))
+    more = _met(materialize(grouped, "grouped"), how, range(1, how.trees))
+    return components(more.union(known.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+
+def _met(classes: DataFrame, how: Join, trees: range) -> DataFrame:
+    """Edges (a, b) between classes (rep, sig, group) of some trees, of the nodes that hold more than one group.
+    Only large nodes are listed apart: each has over node_limit classes, so there are few of them."""
+
     def paths(tree: Column, level: int, node: Column) -> Column:
         """The nodes below node (a number): `branch` different coordinates of the tree's level, from a
         place that the node's hash chooses."""
@@ -300,22 +314,23 @@ def candidates(classes: DataFrame, how: Join) -> DataFrame:
         at = [F.pmod(F.xxhash64(node, F.lit(level)) + s, F.lit(n)) + first + tree * (how.coords // how.trees) for s in range(how.branch)]
         return F.array(*(F.xxhash64(node, x, _token(x.cast("int"))) for x in at))
 
-    roots = F.flatten(F.array(*(F.transform(paths(F.lit(t), 0, F.lit(t)), lambda x, t=t: F.struct(F.lit(t).alias("tree"), x.alias("node"))) for t in range(how.trees))))
-    rows = classes.select("rep", "sig", F.explode(roots).alias("path")).select("rep", "sig", "path.*")
+    roots = F.flatten(F.array(*(F.transform(paths(F.lit(t), 0, F.lit(t)), lambda x, t=t: F.struct(F.lit(t).alias("tree"), x.alias("node"))) for t in trees)))
+    rows = classes.select("rep", "sig", "group", F.explode(roots).alias("path")).select("rep", "sig", "group", "path.*")
     edges = None
     for level in range(how.depth + 1):
-        large = materialize(rows.groupBy("node").count().where(F.col("count") > how.node_limit), "large")
+        sizes = rows.groupBy("node").agg(F.count("*").alias("count"), (F.min("group") == F.max("group")).alias("settled"))
+        large = materialize(sizes.where(F.col("count") > how.node_limit), "large")
         side = _bounded(large)
         whole = rows.join(side, "node", "left_anti").select("*", *(F.lit(0).alias(c) for c in ("lo", "hi", "own")))
         found = _compared(whole, how)
         edges = found if edges is None else edges.union(found)
         if large.isEmpty():
             break
-        rows = rows.join(side, "node")
+        rows = rows.join(side.where("not settled").drop("settled"), "node")
         if level == how.depth:
             edges = edges.union(_compared(_blocks(rows, "node", F.ceil(F.col("count") / how.node_limit)), how))
             break
-        rows = materialize(rows.select("rep", "sig", "tree", F.explode(paths(F.col("tree"), level + 1, F.col("node"))).alias("node")), "nodes")
+        rows = materialize(rows.select("rep", "sig", "group", "tree", F.explode(paths(F.col("tree"), level + 1, F.col("node"))).alias("node")), "nodes")
     return edges
 
 
@@ -360,7 +375,7 @@ def near_duplicates(docs: DataFrame, how: Join = Join(), key: str = "doc_id", te
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")
     )
     classes = materialize(classes.withColumn("node", F.xxhash64("set_id")), "classes")
-    near = components(candidates(classes.select(F.col("node").alias("rep"), "sig"), how))
+    near = candidates(classes.select(F.col("node").alias("rep"), "sig"), how)
     near = near.join(classes.select("node", "rep", "set_id", "n_shingles"), "node")
     linked = components(confirmed(docs, near, how)).join(classes.select("node", "rep"), "node")
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
