@@ -23,7 +23,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ from freshet.llm.common import table, tokenizer_file
 from freshet.llm.text import KEY_LENGTH
 
 #: Bytes of an output batch; characters of texts that are encoded together.
-BATCH_BYTES, BATCH_CHARS = 8 << 20, 1 << 20
+BATCH_BYTES, BATCH_CHARS = 8 << 20, 1 << 18
 #: Pre-tokens of each of the memory's two generations.
 KNOWN = 200_000
 #: The pre-token pattern of PLAIN over lower-cased Latin-1: contractions, letters, one number, others.
@@ -75,7 +75,7 @@ class PieceTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as file:
             said = json.load(file)
         added = [re.escape(x["content"]) for x in said.get("added_tokens") or []]
@@ -93,6 +93,13 @@ class PieceTokenizer:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    @cached_property
+    def model(self):
+        """The library's tokenizer, loaded for the first text that goes there whole."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _whole(self, text: str) -> bytes:
         return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
 
