@@ -105,7 +105,8 @@ def _random(spark: SparkSession, n: int) -> DataFrame:
 
 def _ordinary(spark: SparkSession, n: int, words: list[str]) -> DataFrame:
     """Strings of the kinds of ORDINARY in turn. words: of the corpus."""
-    code, own = F.array(*map(F.lit, CODE_WORDS)), F.array(*map(F.lit, words or CODE_WORDS))
+    # one literal each: an array of thousands of literals is a plan of thousands of nodes
+    code, own = (F.split(F.lit(" ".join(x)), " ") for x in (CODE_WORDS, words or CODE_WORDS))
 
     def word(i: int) -> Column:
         any_ = F.when(_draw(i, 3) > 0, F.get(code, _draw(20 + i, len(CODE_WORDS)))).otherwise(F.get(own, _draw(40 + i, len(words or CODE_WORDS))))
