@@ -37,7 +37,7 @@ from freshet.llm.text import KEY_LENGTH
 #: Bytes of an output batch; characters of texts that are encoded together.
 BATCH_BYTES, BATCH_CHARS = 8 << 20, 1 << 18
 #: Pre-tokens of each of the memory's two generations.
-KNOWN = 200_000
+KNOWN = 120_000
 #: The pre-token pattern of PLAIN over lower-cased Latin-1: contractions, letters, one number, others.
 _LETTER, _NUMBER, _SPACE = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
