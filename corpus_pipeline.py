@@ -46,8 +46,16 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Documents that go to a Python worker at a time, with all their columns.
+BATCH_ROWS = 2000
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again before the next."""
+    """All stages over documents, each written and read again before the next. Sets the session's Arrow
+    batches to BATCH_ROWS rows if they are larger: the rows of these stages are whole documents."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
+        spark.conf.set(setting, BATCH_ROWS)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
