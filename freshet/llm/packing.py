@@ -314,6 +314,8 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, path: str | None
         packer.close()
         if rows:
             yield batch()
+        tokenizer.older = {}
+        pa.default_memory_pool().release_unused()  # the worker may serve other stages
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, PIECES)

@@ -32,7 +32,7 @@ class Memo(dict):
 
 
 #: Bytes hashed at a time; words of more bytes than LONG_WORD are hashed one by one.
-HASH_BYTES, LONG_WORD = 4 << 20, 4096
+HASH_BYTES, LONG_WORD = 1 << 20, 4096
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
