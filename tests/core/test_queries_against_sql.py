@@ -42,5 +42,6 @@ def test_same_rows(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL) - {"model_calibrate", "model_forest", "geo_merged_regions"}))
 def test_runs(spark, name):
     """Queries without SQL, whose values other tests confirm: they give rows, none of them all null."""
-    rows = catalog.QUERIES[name](spark, SF).collect()
+    # no gauge of the smallest scale has all 366 days
+    rows = catalog.QUERIES[name](spark, SF.replace("0.001", "0.01") if name == "clus_smoothed_regimes" else SF).collect()
     assert rows and all(any(v is not None for v in r) for r in rows)
