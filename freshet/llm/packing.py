@@ -36,8 +36,8 @@ from freshet.llm.text import KEY_LENGTH
 
 #: Bytes of an output batch; characters of texts that are encoded together.
 BATCH_BYTES, BATCH_CHARS = 8 << 20, 1 << 18
-#: Pre-tokens of each of the memory's two generations.
-KNOWN = 120_000
+#: Pre-tokens of each of the memory's two generations; where no other stage shares the workers.
+KNOWN, KNOWN_ALONE = 120_000, 300_000
 #: The pre-token pattern of PLAIN over lower-cased Latin-1: contractions, letters, one number, others.
 _LETTER, _NUMBER, _SPACE = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 PIECE = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
@@ -90,6 +90,7 @@ class PieceTokenizer:
             line = {"type": "Split", "behavior": "Removed", "invert": False, "pattern": {"String": " "}}
             bare = {"type": "Sequence", "pretokenizers": [line, PLAIN["pre_tokenizer"]["pretokenizers"][1]]}
             self.words = Tokenizer.from_str(json.dumps(said | {"normalizer": None, "pre_tokenizer": bare, "added_tokens": []}))
+        self.most = KNOWN
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -118,7 +119,7 @@ class PieceTokenizer:
         out: list[bytes | None] = [None] * len(texts)
         cut: list[tuple[int, list, dict[int, str]]] = []
         fresh: set[str] = set()
-        if len(self.known) > KNOWN:
+        if len(self.known) > self.most:
             self.known, self.older = {}, self.known
         for i, text in enumerate(texts):
             if not self.plain or not _latin(text) or (self.added and self.added.search(text)):
@@ -277,13 +278,15 @@ def _portions(block: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
             first, size, texts = at + 1, 0, []
 
 
-def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, path: str | None = None, max_open: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, path: str | None = None, max_open: int = 4096, key: str = "doc_id", text: str = "text", known: int = KNOWN) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (binary, little-endian unsigned 32-bit),
-    doc_tokens, sequence_id, offset. Every id of a document lies in exactly one piece."""
+    doc_tokens, sequence_id, offset. Every id of a document lies in exactly one piece. known: how many
+    pre-tokens a worker remembers, which costs memory and saves time; the rows are the same."""
     path = path or tokenizer_file("word_bpe_49k.json")
 
     def run(batches):
         tokenizer = piece_tokenizer(path)
+        tokenizer.most = known
         end = array("I", [end_id]).tobytes()
         rows: list[tuple] = []
         held = [0]
@@ -323,7 +326,7 @@ def pack(docs: DataFrame, window: int = 4096, end_id: int = 2, path: str | None
 
 def op8_sum_of_squares(spark, sf_dir) -> DataFrame:
     """Where every piece of every document went, with a checksum of its ids."""
-    pieces = pack(table(spark, sf_dir, "documents", "doc_id", "text"))
+    pieces = pack(table(spark, sf_dir, "documents", "doc_id", "text"), known=KNOWN_ALONE)
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )

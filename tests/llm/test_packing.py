@@ -4,6 +4,7 @@ from collections import defaultdict
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from freshet.llm import packing
 from freshet.llm.packing import Packer, pack
 
 
@@ -114,3 +115,15 @@ def test_the_query(spark, documents):
         ends = [0, *(o + n for o, n in sorted(pieces))]
         assert [o for o, _ in sorted(pieces)] == ends[:-1]
         assert ends[-1] == 4096 or ends[-1] & (ends[-1] - 1) == 0
+
+
+def test_a_larger_memory_learns_less_and_gives_the_same_ids(monkeypatch):
+    texts = [" ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(at, at + 400)) for at in (0, 400, 800, 1200, 0, 400, 800)]
+    learnt = {}
+    for most in (100, packing.KNOWN_ALONE):
+        tokenizer = packing.PieceTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+        tokenizer.most, asked, learn = most, [], tokenizer._learn
+        monkeypatch.setattr(tokenizer, "_learn", lambda pieces: asked.extend(pieces) or learn(pieces))
+        learnt[most] = ([tokenizer.encode(text) for text in texts], len(asked))
+    (ids, few), (same, once) = learnt[packing.KNOWN_ALONE], learnt[100]
+    assert ids == same and few == 1600 < once
