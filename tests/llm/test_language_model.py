@@ -192,3 +192,29 @@ def test_perplexity_and_the_query(spark, documents, scored, no_docs):
     total = sum(r.score for r in scored[1] if r.held_out)
     assert abs(lm.perplexity(unseen) / 10 ** (-total / n) - 1) < 1e-4
     assert lm.perplexity(rows.where("false")) is None
+
+
+def test_every_previous_word_has_its_restaurant(spark):
+    """Scores against customers seated one by one, with a restaurant for each previous word."""
+    how = lm.Settings(sweeps=22, burn_in=6, strength=1.0, root_strength=2.0)
+    texts = ["a b a b c", "a b a d", "b a c a b a", "c c a b", "e a b"] * 2
+    ids = [i for i in range(1000) if not held(i)][: len(texts)]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").coalesce(1)
+    assert how.every
+    got = {r.doc_id: r.score for r in lm.score(docs, lm.train(docs, how)).collect()}
+    listed = [tokens(t) for t in texts]
+    expected = plain_model(listed, 3000, how, lambda before, first: "start" if first else before)
+    for i, words in zip(ids, listed):
+        score = sum(math.log10(expected["start" if not at else words[at - 1], w]) for at, w in enumerate(words))
+        assert abs(got[i] - score) < 0.03 * len(words)
+
+
+def test_contexts_beyond_any_number_are_told_apart(spark):
+    """3,000 words, each before a word of its own, of equal frequency: none may share a restaurant."""
+    ids, unseen = [i for i in range(9000) if not held(i)][:6000], [i for i in range(9000) if held(i)][:2]
+    rows = [(i, f"left{at % 3000} right{at % 3000}") for at, i in enumerate(ids)]
+    rows += [(unseen[0], " ".join(f"left{k} right{k}" for k in range(3000))), (unseen[1], " ".join(f"left{k} right{k + 1}" for k in range(2999)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    scores = {r.doc_id: r.score for r in lm.score(docs, lm.train(docs)).collect() if r.doc_id in unseen}
+    # a pair is seen twice: its own customers add to the chance of every right word after its left one
+    assert scores[unseen[0]] > scores[unseen[1]] + 2500
