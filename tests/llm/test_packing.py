@@ -127,3 +127,19 @@ def test_a_larger_memory_learns_less_and_gives_the_same_ids(monkeypatch):
         learnt[most] = ([tokenizer.encode(text) for text in texts], len(asked))
     (ids, few), (same, once) = learnt[packing.KNOWN_ALONE], learnt[100]
     assert ids == same and few == 1600 < once
+
+
+def test_new_words_are_encoded_in_short_lines():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model, own = Tokenizer.from_file(path), packing.PieceTokenizer(path)
+    lines, library = [], own.words
+
+    class Watched:
+        def encode_batch_fast(self, texts, **more):
+            lines.extend(texts)
+            return library.encode_batch_fast(texts, **more)
+
+    own.words = Watched()
+    text = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400))
+    assert list(array("I", own.encode(text))) == model.encode(text, add_special_tokens=False).ids
+    assert len(lines) > 1 and max(len(line.split()) for line in lines) <= packing.LINE
