@@ -7,7 +7,8 @@ their own, and all others share one.
 
 Counting. The restaurants are dealt to parts by their word's hash. Tasks count the (previous word, word)
 pairs of their documents, and each part adds up its own: one row of packed numbers for a part, so Spark
-moves few rows whatever the number of pairs. Seating. In a sweep, the number of tables t of a word's c
+moves few rows whatever the number of pairs. A part lists each of its words once; its pairs, sorted, are
+steps of some two bytes. Seating. In a sweep, the number of tables t of a word's c
 customers in a restaurant is drawn from its conditional given all other tables,
 P(t) ~ S(c, t) * prod(theta + discount * (T + j), j < t) * parent(word) ** t, with S the generalised
 Stirling numbers; the tables are the parent's customers, whose tables are drawn next. One customer has
@@ -20,7 +21,8 @@ over the sweeps after burn_in.
 Scoring. The base probabilities of the `head` most frequent words and the probabilities of at most
 NEAR_PAIRS most frequent pairs go to every task; they only save traffic. All other tokens of a document go
 to the part of the word before them, which asks the owners for the words that are not among the head and
-sends back each document's sum. Pairs of documents that training lacks are listed without customers.
+sends back each document's sum. On that way a pair of two head words is the number of both among the head,
+any other one a hash; sorted, they travel as steps. Pairs of documents that training lacks are listed without customers.
 
 Cases: a null or empty text is the end token alone; a null id reads as the empty string, whose crc32
 is 0, and so is held out; rows that repeat an id are scored and learnt each on its own; with no
@@ -57,9 +59,11 @@ PLACE = np.uint16
 PARCEL_NAMES = ["place", "kind", "origin", "a", "b", "c", "d", "e", "f"]
 PARCEL = "place long, kind int, origin long, a binary, b binary, c binary, d binary, e binary, f binary"
 PAIRS, SEATS, WORDS, ASKED, ANSWER, POSTED, OWN, SUMS = range(8)
-#: Pairs: contexts, words of each, words, customers. Seats: contexts, words of each, their pairs of one customer, words, customers, tables.
+#: Pairs of some documents: contexts, words of each, words, customers. Seats: contexts, words of each, their pairs of one customer, words, customers, tables.
 _PAIR_TYPES = (np.int64, np.uint32, np.int64, np.uint32)
 _SEAT_TYPES = (np.int64, np.uint32, np.uint32, np.int64, np.uint32, np.uint32)
+#: Marks the numbers of pairs that are hashes.
+HASHED = np.uint64(1 << 63)
 
 
 @dataclass(frozen=True)
@@ -128,7 +132,8 @@ class Model:
         def listed(batches):
             for place, kind, _, data in _parcels(batches):
                 if kind == PAIRS:
-                    own, wide, words, customers = (_array(x, k) for x, k in zip(data, _PAIR_TYPES))
+                    own, wide, words, customers, known = _pairs_of(data)
+                    words = known[words]
                     continue
                 at, near = _found(order, own)
                 places = np.where(near & (rank[at] < how.contexts - 2), rank[at], how.contexts - 2) if len(order) else np.full(len(own), how.contexts - 2)
@@ -316,12 +321,48 @@ def _array(value, kind) -> np.ndarray:
 
 
 def _planes(values: np.ndarray) -> np.ndarray:
-    """The first bytes of all numbers, then the second ones, and so on: what they have alike packs well."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    """The first bytes of all numbers, then the second ones, and so on up to the last that one needs:
+    what they have alike packs well."""
+    wide = -(-int(values.max()).bit_length() // 8) if len(values) else 0
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize)[:, :wide].T)
 
 
-def _unplaned(value, kind) -> np.ndarray:
-    return np.ascontiguousarray(_array(value, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+def _unplaned(value, kind, n: int) -> np.ndarray:
+    """The n numbers of _planes()."""
+    planes = _array(value, np.uint8)
+    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+    if n:
+        planes = planes.reshape(-1, n)
+        out[:, : len(planes)] = planes.T
+    return out.view(kind).ravel()
+
+
+def _steps(numbers: np.ndarray) -> np.ndarray:
+    """Planes of the steps between sorted unsigned numbers."""
+    return _planes(np.diff(numbers, prepend=np.uint64(0)))
+
+
+def _stepped(value, n: int) -> np.ndarray:
+    """The n numbers of _steps()."""
+    return np.cumsum(_unplaned(value, np.uint64, n), dtype=np.uint64)
+
+
+def _listed(place: int, contexts: np.ndarray, words: np.ndarray, often: np.ndarray) -> pa.RecordBatch:
+    """A part's row of different pairs, those of a context together: contexts, words of each, steps
+    between the pairs' numbers (sorted by word in each context), customers, and the part's words."""
+    own, wide = _runs(contexts)
+    known, at = np.unique(words.view(np.uint64), return_inverse=True)
+    numbers = np.repeat(np.arange(len(own)), wide) * len(known) + at
+    sorts = np.argsort(numbers)
+    counts = np.array([len(words), len(known)])
+    return _parcel(place, PAIRS, 0, own, wide.astype(np.uint32), _steps(numbers[sorts].view(np.uint64)), _planes(often[sorts].astype(np.uint32)), _steps(known), counts)
+
+
+def _pairs_of(data: list) -> tuple[np.ndarray, ...]:
+    """Of a row of _listed(): contexts, words of each, places of the words, customers, the part's words (sorted as unsigned)."""
+    n, words = _array(data[5], np.int64).tolist()
+    at = (_stepped(data[2], n) % np.uint64(max(words, 1))).view(np.int64)
+    return _array(data[0], np.int64), _array(data[1], np.uint32), at, _unplaned(data[3], np.uint32, n), _stepped(data[4], words).view(np.int64)
 
 
 def _met(places: int | None, *frames: DataFrame) -> DataFrame:
@@ -360,9 +401,9 @@ def _compact(contexts: np.ndarray, words: np.ndarray, often: np.ndarray):
 
 
 def pairs(docs: DataFrame, named: np.ndarray | None, parts: int, listed: DataFrame | None = None) -> DataFrame:
-    """PARCEL rows, one for each of `parts` ranges of contexts: contexts, words of each, words, and how
-    often each pair occurs in training; pairs that only held-out documents have count 0. listed: rows
-    of other documents, to which these add their pairs without a count."""
+    """Rows of _listed(), one for each of `parts` ranges of contexts: the pairs and how often each
+    occurs in training; pairs that only held-out documents have count 0. listed: rows of other
+    documents, to which these add their pairs without a count."""
 
     def counted(batches):
         for tokens, sizes, rows in _chunks(batches):
@@ -379,19 +420,26 @@ def pairs(docs: DataFrame, named: np.ndarray | None, parts: int, listed: DataFra
                 yield closed(place, held)
                 held, size = [], 0
             place = part
-            words = _array(data[2], np.int64)
-            held.append((np.repeat(_array(data[0], np.int64), _array(data[1], np.uint32)), words, _array(data[3], np.uint32).astype(np.int64)))
+            if data[5].is_valid:
+                own, wide, at, often, words = _pairs_of(data)
+                words = words[at]
+            else:
+                own, wide, words, often = (_array(x, k) for x, k in zip(data, _PAIR_TYPES))
+            held.append((np.repeat(own, wide), words, often.astype(np.int64)))
             size += len(words)
             if size > 2 * CHUNK and size > 2 * len(held[0][0]):
-                held = [_compact(*map(np.concatenate, zip(*held)))]
+                held = [_compact(*joined(held))]
                 size = len(held[0][0])
         if held:
             yield closed(place, held)
 
+    def joined(held):
+        columns = [list(x) for x in zip(*held)]
+        held.clear()  # a column's pieces go as soon as they are joined
+        return [np.concatenate(columns.pop(0)) for _ in range(3)]
+
     def closed(place, held):
-        contexts, words, often = _compact(*map(np.concatenate, zip(*held)))
-        own, wide = _runs(contexts)
-        return _parcel(place, PAIRS, 0, own, wide.astype(np.uint32), words, often.astype(np.uint32))
+        return _listed(place, *_compact(*joined(held)))
 
     first = listed is None
     rows = _read(docs).mapInArrow(counted, PARCEL)
@@ -404,11 +452,11 @@ def _seats(found: DataFrame) -> DataFrame:
 
     def run(batches):
         for place, _, _, data in _parcels(batches):
-            own, wide, words, often = (_array(x, k) for x, k in zip(data, _PAIR_TYPES))
+            own, wide, at, often, words = _pairs_of(data)
             owner = np.repeat(np.arange(len(own)), wide)
             many, once = np.bincount(owner[often > 1], minlength=len(own)), np.bincount(owner[often == 1], minlength=len(own))
             kept = many > 0
-            yield _parcel(place, SEATS, 0, own[kept], many[kept].astype(np.uint32), once[kept].astype(np.uint32), words[often > 1], often[often > 1], np.ones(int(many.sum()), np.uint32))
+            yield _parcel(place, SEATS, 0, own[kept], many[kept].astype(np.uint32), once[kept].astype(np.uint32), words[at[often > 1]], often[often > 1], np.ones(int(many.sum()), np.uint32))
 
     return found.mapInArrow(run, PARCEL)
 
@@ -419,14 +467,11 @@ def _opened(found: DataFrame, owners: int) -> DataFrame:
 
     def run(batches):
         for place, _, _, data in _parcels(batches):
-            words, often = _array(data[2], np.int64), _array(data[3], np.uint32).astype(np.int64)
-            sorts = np.argsort(words.view(np.uint64))
-            words, often = words[sorts], often[sorts]
-            new = _firsts(words)
-            if len(new):
-                sums, once, words = np.add.reduceat(often, new), np.add.reduceat((often == 1).astype(np.int64), new), words[new]
-                for part, low, high in _cut(words.view(np.uint64), owners):
-                    yield _parcel(part, WORDS, place, words[low:high], sums[low:high], once[low:high].astype(np.uint32))
+            _, _, at, often, words = _pairs_of(data)
+            # sums of less than 2**53 customers are exact
+            sums, once = np.bincount(at, often, len(words)).astype(np.int64), np.bincount(at[often == 1], minlength=len(words))
+            for part, low, high in _cut(words.view(np.uint64), owners):
+                yield _parcel(part, WORDS, place, words[low:high], sums[low:high], once[low:high].astype(np.uint32))
 
     def added(batches):
         place, held, size = None, [], 0
@@ -678,8 +723,19 @@ def _root_chance(model: Model):
     return chance
 
 
+def _numbers(size: int, contexts: np.ndarray, before: np.ndarray, usual: np.ndarray, words: np.ndarray, at: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Numbers of pairs: of two of the `size` near words from their places (before, where usual; at,
+    where near), of others a hash. The former are small, so that sorted ones are near one another."""
+    out = before.astype(np.uint64)
+    out *= np.uint64(size)
+    out += at.view(np.uint64)
+    rest = np.flatnonzero(~(usual & near))
+    out[rest] = _pair_keys(contexts[rest], words[rest]) | HASHED
+    return out
+
+
 def _near_pairs(model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, sorted, and log10 probabilities of the most frequent pairs of near words, at most NEAR_PAIRS."""
+    """Numbers, sorted, and log10 probabilities of the most frequent pairs of near words, at most NEAR_PAIRS."""
     how, order, parents = model.settings, model.order, model.parents
     least = _least(_levels(model.seats, 4, np.uint32), NEAR_PAIRS)
     samples = len(model.roots)
@@ -693,7 +749,8 @@ def _near_pairs(model: Model) -> tuple[np.ndarray, np.ndarray]:
             at, near = _found(order, words)
             kept = near & (_level(customers) >= least)
             chance = _chances(owner, len(contexts), once, customers, history.reshape(samples, -1), parents[:, at], how)[kept]
-            keys = _pair_keys(contexts[owner[kept]], words[kept]).view(np.int64)
+            before, usual = (x[owner[kept]] for x in _found(order, contexts))
+            keys = _numbers(len(order), contexts[owner[kept]], before, usual, words[kept], at[kept], near[kept]).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.log10(chance).astype(np.float32))], names=["pair", "chance"])
 
     got = model.seats.mapInArrow(run, "pair long, chance float").toArrow() if len(order) else None
@@ -718,7 +775,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def asked(batches):
         order = shared.value[0]
         for place, _, _, data in _parcels(batches):
-            words = np.unique(_array(data[2], np.int64).view(np.uint64))
+            words = _stepped(data[4], int(_array(data[5], np.int64)[1]))
             words = words[~_found(order, words.view(np.int64))[1]]
             for part, low, high in _cut(words, owners):
                 yield _parcel(part, ASKED, place, words[low:high])
@@ -744,11 +801,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for tokens, sizes, (ids, held, valid) in _chunks(batches):
             n, owner = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
             contexts = _contexts(tokens, sizes, named)
-            keys = _pair_keys(contexts, tokens)
+            at, usual = _found(order, tokens)
+            follows = np.concatenate(([False], usual[:-1] & (contexts[1:] == tokens[:-1])))
+            keys = _numbers(len(order), contexts, np.concatenate(([0], at[:-1])), follows, tokens, at, usual)
             sorts = np.argsort(keys)
             new = _firsts(keys[sorts])
             wide, firsts, owner = np.diff(np.append(new, len(keys))), sorts[new], owner[sorts]
-            at, usual = _found(order, tokens[firsts])
+            at, usual = at[firsts], usual[firsts]
             both = np.repeat(usual, wide)
             base = np.bincount(owner[both], np.repeat(plain[at[usual]], wide[usual]), n) if usual.any() else np.zeros(n)
             known = np.bincount(owner[both], minlength=n)
@@ -763,8 +822,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             owner = owner[np.repeat(new[rest] - ends + wide, wide) + np.arange(wide.sum())].astype(np.uint32)
             places, counts = _runs(part_of[by])
             for part, low, high in zip(places.tolist(), np.cumsum(counts) - counts, np.cumsum(counts)):
-                steps = np.diff(own_keys[low:high], prepend=np.uint64(0))
-                yield _parcel(part, POSTED, number, _planes(steps), wide[low:high].astype(np.uint32), _planes(owner[ends[low] - wide[low] : ends[high - 1]]), np.array([n]))
+                own = owner[ends[low] - wide[low] : ends[high - 1]]
+                yield _parcel(part, POSTED, number, _steps(own_keys[low:high]), _planes(wide[low:high].astype(np.uint32)), _planes(own), np.array([n, high - low, len(own)]))
             number += 1
 
     def looked_up(batches):
@@ -776,7 +835,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             if part != place:
                 place, listed, history, answers, chances = part, None, None, [], None
             if kind == PAIRS:
-                listed = [_array(x, k) for x, k in zip(data, _PAIR_TYPES)]
+                listed = _pairs_of(data)
             elif kind == SEATS:
                 history = _array(data[5], np.uint32)
             elif kind == ANSWER:
@@ -785,30 +844,31 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 if chances is None:
                     chances = table_of(listed, history, answers)
                 keys, logs, plain, known = chances
-                at, ok = _found(keys, np.cumsum(_unplaned(data[0], np.uint64), dtype=np.uint64))
+                n, different, tokens = _array(data[3], np.int64).tolist()
+                at, ok = _found(keys, _stepped(data[0], different))
                 if not ok.all():
                     raise ValueError("a pair of a document is not in the model's list")
-                wide, owner, n = _array(data[1], np.uint32), _unplaned(data[2], np.uint32), int(_array(data[3], np.int64)[0])
-                at = np.repeat(at, wide)
+                at, owner = np.repeat(at, _unplaned(data[1], np.uint32, different)), _unplaned(data[2], np.uint32, tokens)
                 yield _parcel(origin, SUMS, part, np.bincount(owner, plain[at], n), np.bincount(owner, known[at], n).astype(np.int64), np.bincount(owner, logs[at], n))
 
     def table_of(listed, history, answers):
-        """Keys of a part's pairs, sorted; their log10 probabilities; what they add to the base score and
+        """Numbers of a part's pairs, sorted; their log10 probabilities; what they add to the base score and
         to the known tokens where the word is none of the near ones."""
         order, near_parents, *_ = shared.value
-        own, lengths, words, customers = listed
+        own, lengths, places, customers, words = listed
         owner = np.repeat(np.arange(len(own)), lengths)
         at, near = _found(order, words)
         parents = near_parents[:, at].astype(np.float32) if len(order) else np.empty((samples, len(words)), np.float32)
         plain, known = np.zeros(len(words)), np.zeros(len(words), bool)
         if not near.all():
-            often, chance = (np.concatenate(x, axis=-1) for x in zip(*answers))
-            _, at = np.unique(words[~near].view(np.uint64), return_inverse=True)
-            parents[:, ~near] = chance[:, at]
-            plain[~near], known[~near] = (np.log10(often + 0.1) - scale)[at], (often > 0)[at]
+            # answers come in the order of the words' ranges, which is that of the words
+            often, parents[:, ~near] = (np.concatenate(x, axis=-1) for x in zip(*answers))
+            plain[~near], known[~near] = np.log10(often + 0.1) - scale, often > 0
         tables = _all_tables(customers, history, samples)
-        logs = np.log10(_chances(owner, len(own), 0, customers, tables, parents, how))
-        keys = _pair_keys(own[owner], words)
+        logs = np.log10(_chances(owner, len(own), 0, customers, tables, parents[:, places], how))
+        before, usual = (x[owner] for x in _found(order, own))
+        keys = _numbers(len(order), own[owner], before, usual, words[places], at[places], near[places])
+        plain, known = plain[places], known[places]
         sorts = np.argsort(keys)
         return keys[sorts], logs[sorts], plain[sorts], known[sorts]
 

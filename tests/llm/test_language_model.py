@@ -218,3 +218,30 @@ def test_contexts_beyond_any_number_are_told_apart(spark):
     scores = {r.doc_id: r.score for r in lm.score(docs, lm.train(docs)).collect() if r.doc_id in unseen}
     # a pair is seen twice: its own customers add to the chance of every right word after its left one
     assert scores[unseen[0]] > scores[unseen[1]] + 2500
+
+
+def test_steps_and_planes_give_the_numbers_back():
+    for numbers in ([], [0], [3, 3, 700, 2**40, 2**64 - 1]):
+        numbers = np.array(numbers, np.uint64)
+        assert lm._stepped(lm._parcel(0, 0, 0, lm._steps(numbers)).column(3)[0], len(numbers)).tolist() == numbers.tolist()
+    small = np.array([0, 5, 255], np.uint32)
+    assert lm._planes(small).nbytes == 3 and lm._unplaned(lm._parcel(0, 0, 0, lm._planes(small)).column(3)[0], np.uint32, 3).tolist() == [0, 5, 255]
+
+
+def test_listed_pairs_and_their_numbers_take_little_room(spark, documents):
+    """A stored pair, and one asked for, is a step of less than the eight bytes of a hash; none is lost."""
+    found = lm.pairs(documents.select("doc_id", "text"), None, 1).collect()
+    batch = lm._parcel(0, lm.PAIRS, 0, *(np.frombuffer(found[0][c], np.uint8) for c in "abcdef"))
+    own, wide, at, customers, words = lm._pairs_of([batch.column(k)[0] for k in range(3, 9)])
+    texts = [(r.doc_id, tokens(r.text)) for r in documents.collect()]
+    expected = Counter((w[i - 1] if i else "", x) for d, w in texts for i, x in enumerate(w) if not held(d))
+    seen = {(w[i - 1] if i else "", x) for _, w in texts for i, x in enumerate(w)}
+    assert len(found) == 1 and len(at) == len(seen) and wide.sum() == len(at)
+    assert sorted(customers.tolist()) == sorted(expected[p] for p in seen)
+    assert len(found[0]["c"]) <= 5 * len(at)
+    owner, order = np.repeat(np.arange(len(own)), wide), np.sort(words)
+    before, usual = lm._found(order, own)
+    place, near = lm._found(order, words[at])
+    numbers = lm._numbers(len(order), own[owner], before[owner], usual[owner], words[at], place, near)
+    assert len(np.unique(numbers)) == len(at)
+    assert lm._steps(np.sort(numbers[numbers < lm.HASHED])).nbytes < 8 * (numbers < lm.HASHED).sum()
